@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, toxicity
+from . import bpe, licenses, toxicity
 from .common import WORD_PATTERN, table
 from .mixing import mix_sources
 from .sharding import number_slots, shard_records
@@ -63,6 +63,21 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", licenses.scan(F.col("text")).alias("s"))
+    labels = F.array_sort(F.array_distinct(F.concat("s.base_labels", F.transform("s.matches", lambda m: m["label"]))))
+    return found.select(
+        "doc_id",
+        "s.n_words",
+        "s.n_base",
+        "s.first_word",
+        "s.last_word",
+        F.array_join("s.base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        "s.score",
+    )
+
+
 OP8_SQL = """
 WITH rows AS (
   SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
@@ -88,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mix_sources": op6_mix_sources,
         "op7_rendezvous_shards": op7_rendezvous_shards,
         "op8_warc_round_trip": op8_warc_round_trip,
+        "op9_license_scan": op9_license_scan,
     }
 
 
