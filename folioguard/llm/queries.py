@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, toxicity
+from . import bpe, licenses, pii, toxicity
 from .common import WORD_PATTERN, table
 from .mixing import mix_sources
 from .sharding import number_slots, shard_records
@@ -21,6 +21,19 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.spans_column(F.col("text"), pii.fit()).alias("s"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("s", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in pii.BASE_KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -98,6 +111,7 @@ FROM rows JOIN ids USING (hex, payload_bytes)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_pii_spans": op2_pii_spans,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_toxicity": op5_toxicity,
         "op6_mix_sources": op6_mix_sources,
