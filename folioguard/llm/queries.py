@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, licenses, pii, toxicity
+from .ann import nearest_neighbours
 from .common import WORD_PATTERN, table
 from .mixing import mix_sources
 from .sharding import number_slots, shard_records
 from .simhash import near_groups
+from .topk import exact_top_k
 from .warc import archive_round_trip
 
 
@@ -34,6 +36,26 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in pii.BASE_KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, factor=1024.0)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -91,6 +113,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 OP8_SQL = """
 WITH rows AS (
   SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
@@ -112,14 +138,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_pii_spans": op2_pii_spans,
+        "op3_exact_top_k": op3_exact_top_k,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_toxicity": op5_toxicity,
         "op6_mix_sources": op6_mix_sources,
         "op7_rendezvous_shards": op7_rendezvous_shards,
         "op8_warc_round_trip": op8_warc_round_trip,
         "op9_license_scan": op9_license_scan,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_round_trip": OP8_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op8_warc_round_trip": OP8_SQL}
