@@ -180,8 +180,13 @@ def mix_sources(
         .where((F.col("__mix_end") - F.col("n") < F.col("__mix_left")) & (F.col("__mix_left") <= F.col("__mix_end")))
         .select("__mix_p", F.col("__mix_b").alias("__mix_edge"), (F.col("__mix_left") - F.col("__mix_end") + F.col("n")).alias("__mix_rest"))
     )
-    known = plan_df.drop("__mix_left").join(edge, "__mix_p", "left")
-    full = work.join(known, "__mix_p").withColumn("__mix_edge", F.coalesce("__mix_edge", F.lit(-1)))
+    # As many rows as the plan; Spark sees their size and joins without a shuffle
+    # of the documents where they are few.
+    edges = {r["__mix_p"]: (r["__mix_edge"], r["__mix_rest"]) for r in edge.collect()}
+    known = spark.createDataFrame(
+        [(p, target, times, *edges.get(p, (-1, 0))) for p, target, times, _ in plan], "__mix_p string, target double, __mix_full long, __mix_edge int, __mix_rest long"
+    )
+    full = work.join(known, "__mix_p")
     base = F.col("__mix_n") * F.col("__mix_full")
 
     clear = full.where(F.col("__mix_b") != F.col("__mix_edge")).select(
