@@ -136,23 +136,21 @@ def mix_sources(
     with ``whole`` that document is taken if over half of it would be, so that
     documents count 0, 1, ... ``most`` times in full.
 
-    Give it narrow rows.  They are shuffled only where their hash bucket is the
-    one in which a pattern's words run out.  Equal rows are interchangeable.
+    ``df`` is read twice and must give the same rows both times.  Rows are
+    shuffled only where their hash bucket is the one in which a pattern's words
+    run out.  Equal rows are interchangeable.
     Columns named ``target``, ``taken`` or with the prefix ``__mix`` are replaced.
     """
     spark = df.sparkSession
     df = without(df, "target", "taken", "__mix_p", "__mix_n", "__mix_h", "__mix_b")
     kept = [F.col(f"`{c}`") for c in df.columns]
     pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(F.col(f"`{members}`").cast("array<string>"))).alias("m")))
-    work = settle(
-        df.select(
-            *kept,
-            pattern.alias("__mix_p"),
-            F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("__mix_n"),
-            F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("__mix_h"),
-        ).withColumn("__mix_b", F.pmod(F.shiftrightunsigned("__mix_h", 20), F.lit(buckets)).cast("int")),
-        "mix",
-    )
+    work = df.select(
+        *kept,
+        pattern.alias("__mix_p"),
+        F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("__mix_n"),
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("__mix_h"),
+    ).withColumn("__mix_b", F.pmod(F.shiftrightunsigned("__mix_h", 20), F.lit(buckets)).cast("int"))
     sums = settle(work.groupBy("__mix_p", "__mix_b").agg(F.sum("__mix_n").alias("n")), "mix-sums")
     listed = T.StructType([T.StructField("m", T.ArrayType(T.StringType()))])
     totals = [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, licenses, pii, toxicity
 from .ann import nearest_neighbours
-from .common import WORD_PATTERN, table
+from .common import WORD_PATTERN, settle, table
 from .mixing import mix_sources
 from .sharding import number_slots, shard_records
 from .simhash import near_groups
@@ -74,7 +74,8 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")
     )
-    mixed = mix_sources(docs.withColumn("members", F.array("source")), members="members", size="size", key="doc_id", weights=(3.0, 1.0, 2.0), share=1.5, most=2)
+    docs = settle(docs.withColumn("members", F.array("source")), "sizes")
+    mixed = mix_sources(docs, members="members", size="size", key="doc_id", weights=(3.0, 1.0, 2.0), share=1.5, most=2)
     per_source = mixed.groupBy("source").agg(F.sum("size").alias("source_size"))
     joined = mixed.join(per_source, mixed["source"].eqNullSafe(per_source["source"]))
     return joined.select("doc_id", "size", "source_size", "target", "taken")
