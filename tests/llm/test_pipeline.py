@@ -42,10 +42,17 @@ def test_copies_go(stages):
         least[r["text"]] = min(r["doc_id"], least.get(r["text"], r["doc_id"]))
     assert all(least[r["text"]] == r["doc_id"] for r in after)
     sets = {r["doc_id"]: frozenset(zip(*[r["text"].lower().split()[i:] for i in range(5)], strict=False)) for r in before}
-    kept = [sets[r["doc_id"]] for r in after]
-    for r in before:  # what went has a copy that stayed, or one that went with it
-        if r["doc_id"] not in {a["doc_id"] for a in after} and len(sets[r["doc_id"]]) > 20:
-            assert max(len(sets[r["doc_id"]] & s) / len(sets[r["doc_id"]] | s) for s in kept) > 0.6
+    # Groups by brute force on the same texts; the kept hashes are exact for most.
+    rows = [r for r in before if len(sets[r["doc_id"]]) < 250]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    stayed = {r["doc_id"] for r in after}
+    for r in rows:
+        i = r["doc_id"]
+        others = [b["doc_id"] for b in before if b["doc_id"] != i and len(sets[i]) and alike(i, b["doc_id"])]
+        if i not in stayed and len(sets[i]):
+            assert others
+        if i in stayed and len(sets[i]):
+            assert not [j for j in others if j in stayed]
 
 
 def test_personal_data_is_redacted(stages):
