@@ -1 +1 @@
-"""."""
+"""Column expressions and small vectorised helpers."""

@@ -1 +1 @@
-"""."""
+"""Jobs over words, detections, folders, drafts and frames."""

@@ -1 +1 @@
-"""."""
+"""Queries over the given tables, and their SQL."""

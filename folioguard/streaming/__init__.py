@@ -1 +1 @@
-"""."""
+"""Stateful jobs over event streams."""
