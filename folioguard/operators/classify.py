@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, normalize_text
@@ -17,36 +19,75 @@ def ascii_bounds(pattern: str) -> str:
     return re.sub(r"\\b", lambda _: edge, pattern)
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, or of the one group that it consists of."""
+    whole = re.fullmatch(r"\\b\(\?:([^()]*)\)\\b", pattern)
+    out, depth = [""], 0
+    for c in whole.group(1) if whole else pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def anchor(alternative: str) -> str | None:
+    """Characters that each match of ``alternative`` contains; None if none are sure."""
+    sure = re.sub(r"\(\?:[^()]*(?:\([^()]*\)\??[^()]*)*\)\??|\[[^\]]*\]|\\.[*+?]?|[^<][*?]", "\n", alternative)
+    return max(re.findall("[A-ZÄÖÜ]{3,}|<", sure), key=len, default=None)
+
+
+def has_keyword(normalized: Column, pattern: str) -> Column:
+    """Whether ``pattern`` matches; texts without its anchors never reach it."""
+    found = normalized.rlike(ascii_bounds(pattern))
+    sure = [anchor(x) for x in alternatives(pattern)]
+    return found if None in sure else reduce(lambda a, b: a | b, [normalized.contains(x) for x in sure]) & found
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time: it is bound to the
+    variable of a one-element transform, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyword_scores(normalized: Column, rules=CLASSIFICATION) -> Column:
     """array<struct<score, order, type, matches>>, best first: higher score, then
     the earlier rule."""
+
+    def scorer(order: int, kind: str) -> Callable[[Column], Column]:
+        def run(found: Column) -> Column:
+            total = F.aggregate(found, F.lit(0), lambda n, m: n - m["weight"])
+            return F.struct(total.alias("negative"), F.lit(order).alias("order"), F.lit(kind).alias("type"), F.transform(found, lambda m: m["label"]).alias("matches"))
+
+        return run
+
     scored = []
     for order, (kind, words) in enumerate(rules):
-        hit = [F.when(normalized.rlike(ascii_bounds(p)), F.struct(F.lit(w).alias("weight"), F.lit(label).alias("label"))) for label, p, w in words]
-        found = F.array_compact(F.array(*hit))
-        total = F.aggregate(found, F.lit(0), lambda n, m: n + m["weight"])
-        scored.append(F.struct((-total).alias("negative"), F.lit(order).alias("order"), F.lit(kind).alias("type"), F.transform(found, lambda m: m["label"]).alias("matches")))
+        hit = [F.when(has_keyword(normalized, p), F.struct(F.lit(w).alias("weight"), F.lit(label).alias("label"))) for label, p, w in words]
+        scored.append(once(F.array_compact(F.array(*hit)), scorer(order, kind)))
     return F.array_sort(F.array(*scored))
 
 
-def classify(df: DataFrame, text: str = "text", into: str = "classification", rules=CLASSIFICATION) -> DataFrame:
-    """``df`` with ``into``: struct(type, confidence, matched_keywords,
-    explanation).  A null or blank text has no type and confidence 0.
-
-    The scores are a column of their own, so each pattern runs once for a text.
-    """
-    scored = df.withColumn("__normal", normalize_text(F.coalesce(F.col(text), F.lit(""))))
-    scored = scored.withColumn("__ranked", keyword_scores(F.col("__normal"), rules))
-    best, second = F.get("__ranked", F.lit(0)), F.get("__ranked", F.lit(1))
-    score, margin = -best["negative"], second["negative"] - best["negative"]
-    found = F.size(best["matches"])
-    sure = F.least(F.lit(98), half_up(45 + score * 5 + found * 3 + F.greatest(F.lit(0), margin) * 2).cast("int"))
+def classify(text: Column, rules=CLASSIFICATION) -> Column:
+    """struct(type, confidence, matched_keywords, explanation) of a text.  A null
+    or blank text has no type and confidence 0."""
 
     def made(kind: Column, confidence: Column, words: Column, why: Column) -> Column:
         return F.struct(kind.alias("type"), confidence.cast("int").alias("confidence"), words.alias("matched_keywords"), why.alias("explanation"))
 
     empty = made(F.lit(OTHER), F.lit(0), F.array().cast("array<string>"), F.lit("Kein auswertbarer OCR-Text vorhanden."))
-    weak = made(F.lit(OTHER), F.least(F.lit(35), score * 10), best["matches"], F.lit("Die gefundenen Begriffe reichen für eine zuverlässige Zuordnung nicht aus."))
-    why = F.concat(F.lit("Erkannt anhand von: "), F.array_join(best["matches"], ", "), F.lit("."))
-    result = F.when(F.col("__normal") == "", empty).when(score < LEAST_SCORE, weak).otherwise(made(best["type"], sure, best["matches"], why))
-    return scored.withColumn(into, result).drop("__normal", "__ranked")
+
+    def choose(ranked: Column) -> Column:
+        best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        score, margin = -best["negative"], second["negative"] - best["negative"]
+        found = F.size(best["matches"])
+        sure = F.least(F.lit(98), half_up(45 + score * 5 + found * 3 + F.greatest(F.lit(0), margin) * 2).cast("int"))
+        weak = made(F.lit(OTHER), F.least(F.lit(35), score * 10), best["matches"], F.lit("Die gefundenen Begriffe reichen für eine zuverlässige Zuordnung nicht aus."))
+        why = F.concat(F.lit("Erkannt anhand von: "), F.array_join(best["matches"], ", "), F.lit("."))
+        return F.when(score < LEAST_SCORE, weak).otherwise(made(best["type"], sure, best["matches"], why))
+
+    def typed(normalized: Column) -> Column:
+        return F.when(normalized == "", empty).otherwise(once(keyword_scores(normalized, rules), choose))
+
+    return once(normalize_text(F.coalesce(text, F.lit(""))), typed)

@@ -96,7 +96,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         point(0.1 + d, 0.1 + d).alias("top_left"), point(0.9 - d, 0.1 + d).alias("top_right"), point(0.9 - d, 0.9 - d).alias("bottom_right"), point(0.1 + d, 0.9 - d).alias("bottom_left")
     )
     return e.select(
-        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("frame_no"), "ts", (F.col("event_type") != "error").alias("document_detected"),
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("frame_no"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("document_detected"),
         F.col("value").alias("movement"), corners.alias("corners"),
     )
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import words
+from . import folders, media, words
 
-MODULES = (words,)
+MODULES = (words, folders, media)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
