@@ -89,7 +89,8 @@ def toggled(detections: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def autosaves(versions: DataFrame, gap: str = "700 milliseconds") -> DataFrame:
-    """The last version of each burst of edits that ``gap`` of quiet ends."""
+    """The last version of each burst of edits that ``gap`` of quiet ends.  Edits
+    exactly ``gap`` apart are one burst."""
     last = F.max_by(F.struct("seq", "title"), F.struct("updated_at", "seq"))
     return versions.groupBy("id", F.session_window("updated_at", gap).alias("w")).agg(last.alias("v"), F.count(F.lit(1)).alias("n_edits")).select(
         "id", F.col("w.start").alias("started"), "v.seq", "v.title", "n_edits"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import pixels, quality
 from ..functions import text as t
-from ..operators import detect, frames
+from ..operators import detect, edits, frames
 from . import fixtures as fx
 from .words import BULLETS, FOUND
 
@@ -145,7 +145,29 @@ def autosaves(spark: SparkSession, sf: str) -> DataFrame:
     return frames.autosaves(fx.draft_versions(spark, sf), "6 hours")
 
 
+def page_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as an edit log of the scan session of their user and day."""
+    e, n = fx.table(spark, sf, "events"), F.col("event_id")
+    op = F.element_at(F.array(*[F.lit(x) for x in ("add", "add", "move", "add", "remove", "undo", "replace")]), (n % 7).cast("int") + 1)
+    log = e.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "MMdd")).alias("session_id"), n.alias("seq"), op.alias("op"), F.concat(F.lit("p"), (n % 5).cast("string")).alias("page"),
+        (n % 4).cast("int").alias("index"), F.when(n % 2 == 0, 1).otherwise(-1).alias("direction"), F.concat(F.lit("r"), n.cast("string")).alias("payload"), (n * 700).alias("ms"),
+    )
+    return edits.page_edits(log).withColumn("pages", F.array_join("pages", ","))
+
+
+def review_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks on single detections and on all of a document, from its events."""
+    found = detect.detect(fx.ocr_words(spark, sf)).select("doc_id", "detection_id", "selected")
+    first = found.select("doc_id", F.lit(-1).cast("long").alias("seq"), F.array("detection_id").alias("ids"), F.col("selected").alias("start"))
+    every = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("detection_id")).alias("all"))
+    e = fx.table(spark, sf, "events").select((F.col("user_id") % 200).alias("doc_id"), F.col("event_id").alias("seq")).join(every, "doc_id")
+    clicks = e.select("doc_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("all")).otherwise(F.slice("all", 1, 1)).alias("ids"), F.lit(None).cast("boolean").alias("start"))
+    return edits.review_clicks(first.unionByName(clicks)).withColumn("selected", F.array_join("selected", ","))
+
+
 QUERIES = {
+    "page_edits": page_edits, "review_clicks": review_clicks,
     "display_texts": display_texts, "profiles": profiles, "box_geometry": box_geometry, "camera_geometry": camera_geometry, "corner_checks": corner_checks, "scan_quality": scan_quality,
     "frame_sharpness": frame_sharpness, "frame_movement": frame_movement, "sharpest_frames": sharpest_frames, "live_states": live_states, "settled_frames": settled_frames,
     "smoothed_corners": smoothed_corners, "latest_scan_states": latest_scan_states, "review_toggles": review_toggles, "autosaves": autosaves,
