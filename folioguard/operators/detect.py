@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up
-from ..functions.validators import SOCIAL, TAX, all_matches, find_ibans, identity_number, is_mrz_line, is_signature_label, is_social_security_number, is_tax_id
-from ..rules import ID_LABEL_TOKEN, ID_NUMBER, MRZ, SIGNATURE
+from ..functions.validators import IBAN_HINT, SOCIAL, TAX, all_matches, find_ibans, identity_number, is_mrz_line, is_signature_label, is_social_security_number, is_tax_id
+from ..rules import ID_LABEL, ID_LABEL_TOKEN, ID_NUMBER, MRZ, SIGNATURE
 
 WORD = ("left", "word_seq", "text", "normalized", "top", "width", "height", "confidence")
 BOX = "struct<left: double, top: double, width: double, height: double>"
@@ -51,6 +51,8 @@ def line_hits(lines: DataFrame) -> DataFrame:
     """Hits of the line rules: ``label``, ``value``, matched ``words`` and the
     ``seq`` in which rules find them.  Lines without a hit go no further."""
     compact = F.col("compact")
+    # One look at each line first: nearly all have nothing that a rule could find.
+    lines = lines.where(compact.rlike(f"{IBAN_HINT}|{SOCIAL}|{TAX}|(?:{ID_LABEL})[A-Z0-9]{{8}}") | is_mrz_line(F.col("raw")))
     none = F.array().cast("array<struct<label: string, value: string, start: int, end: int>>")
 
     def tagged(label: str, matches: Column) -> Column:
