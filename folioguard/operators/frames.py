@@ -46,6 +46,16 @@ def live_states(frames: DataFrame, *, threshold: float = 9.0, ready: int = 4, ca
     return each.select("session_id", "x.frame_no", "x.stable", status.alias("status"), (F.col("x.seen") & (F.col("x.stable") >= capture)).alias("capture"))
 
 
+def stability_counts(frames: DataFrame, *, threshold: float = 4.8, capture: int = 4) -> DataFrame:
+    """(``session_id``, ``frame_no``, ``stable``, ``progress``) of the simpler
+    counter after each frame, in order of (``ts``, ``frame_no``)."""
+    sessions = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_no", "movement"))).alias("f"))
+    step = lambda acc, x: F.concat(acc, F.array(next_counter(F.element_at(acc, -1), x["movement"], threshold).cast("int")))
+    counts = F.aggregate("f", F.array(F.lit(0)), step)
+    each = sessions.select("session_id", F.explode(F.arrays_zip(F.transform("f", lambda x: x["frame_no"]).alias("frame_no"), F.slice(counts, 2, F.size("f")).alias("stable"))).alias("x"))
+    return each.select("session_id", "x.frame_no", "x.stable", progress(F.col("x.stable"), capture).alias("progress"))
+
+
 def settle_frames(frames: DataFrame, *, threshold: float = 4.8, timeout_ms: int = 1200) -> DataFrame:
     """The frame at which a manual capture of each session goes off: the second of
     two quiet comparisons in a row, or the first frame after the timeout."""

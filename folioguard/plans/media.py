@@ -166,7 +166,17 @@ def review_clicks(spark: SparkSession, sf: str) -> DataFrame:
     return edits.review_clicks(first.unionByName(clicks)).withColumn("selected", F.array_join("selected", ","))
 
 
+def stability_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.stability_counts(fx.frames(spark, sf))
+
+
+def paper_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    f = fx.frames(spark, sf)
+    return f.select("frame_no", t.polygon_points(F.array(*[F.col(f"corners.{n}") for n in g.NAMES])).alias("points"), g.plausible_live_paper(F.col("corners")).alias("plausible"))
+
+
 QUERIES = {
+    "stability_counts": stability_counts, "paper_polygons": paper_polygons,
     "page_edits": page_edits, "review_clicks": review_clicks,
     "display_texts": display_texts, "profiles": profiles, "box_geometry": box_geometry, "camera_geometry": camera_geometry, "corner_checks": corner_checks, "scan_quality": scan_quality,
     "frame_sharpness": frame_sharpness, "frame_movement": frame_movement, "sharpest_frames": sharpest_frames, "live_states": live_states, "settled_frames": settled_frames,
@@ -263,6 +273,14 @@ s AS (
   SELECT f.user_id, f.event_id, f.n, f.seen, (CASE WHEN NOT f.seen THEN greatest(0, s.stable - 1) WHEN f.value <= 9.0 THEN s.stable + 1 WHEN f.value <= 9.0 * 1.7 THEN greatest(0, s.stable - 1) ELSE 0 END)::INT
   FROM s JOIN f ON f.user_id = s.user_id AND f.n = s.n + 1)
 SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, stable, CASE WHEN NOT seen THEN 'positioning' WHEN stable >= 4 THEN 'ready' ELSE 'moving' END AS status, seen AND stable >= 5 AS capture FROM s""",
+    "stability_counts": """WITH RECURSIVE f AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT user_id, event_id, n, (CASE WHEN value > 4.8 THEN 0 ELSE 1 END)::INT AS stable FROM f WHERE n = 1
+  UNION ALL SELECT f.user_id, f.event_id, f.n, (CASE WHEN f.value > 4.8 THEN greatest(0, s.stable - 1) ELSE s.stable + 1 END)::INT FROM s JOIN f ON f.user_id = s.user_id AND f.n = s.n + 1)
+SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, stable, least(1.0, stable / 4.0)::DOUBLE AS progress FROM s""",
+    "paper_polygons": """WITH f AS (SELECT event_id, event_id % 10 / 200.0::DOUBLE AS d FROM events)
+SELECT event_id AS frame_no, printf('%.2f,%.2f %.2f,%.2f %.2f,%.2f %.2f,%.2f', (0.1 + d) * 100, (0.1 + d) * 100, (0.9 - d) * 100, (0.1 + d) * 100, (0.9 - d) * 100, (0.9 - d) * 100, (0.1 + d) * 100, (0.9 - d) * 100) AS points,
+       0.8 - 2 * d >= 0.4 AS plausible FROM f""",
     "settled_frames": """WITH q AS (SELECT user_id, event_id, value <= 4.8 AS quiet, epoch_us(ts) - epoch_us(ts) % 1000000 + (event_id % 4) * 400000 AS us FROM events),
 f AS (SELECT *, row_number() OVER w AS n, lag(quiet) OVER w AS before, min(us) OVER (PARTITION BY user_id) AS began FROM q WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
 h AS (SELECT *, quiet AND before AND n > 2 AS two, us - began >= 1200000 AS late FROM f)
