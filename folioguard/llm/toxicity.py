@@ -122,13 +122,15 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
-def telling(bags: list[tuple], labels: np.ndarray, least: float = TELLING) -> np.ndarray:
+def telling(texts: list[str], labels: np.ndarray, least: float = TELLING) -> np.ndarray:
     """Which buckets are in texts of one label clearly more often than of the other."""
     n = np.bincount(labels, minlength=2)
-    with_row = [np.bincount(np.concatenate([b[0] for b, y in zip(bags, labels, strict=True) if y == k]), minlength=BUCKETS) for k in (0, 1)]
-    p = (with_row[0] + with_row[1]) / n.sum()
+    with_row = np.zeros((2, BUCKETS), np.int64)
+    for text, label in zip(texts, labels, strict=True):
+        with_row[label, bag(text)[0]] += 1
+    p = with_row.sum(axis=0) / n.sum()
     error = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
-    return (np.abs(with_row[1] / n[1] - with_row[0] / n[0]) / error > least) & (with_row[0] + with_row[1] >= 3)
+    return (np.abs(with_row[1] / n[1] - with_row[0] / n[0]) / error > least) & (with_row.sum(axis=0) >= 3)
 
 
 def train(texts: list[str], labels: np.ndarray, *, epochs: int = 15, batch: int = 64, rate: float = 0.005, decay: float = 1e-4, seed: int = 1) -> Model:
@@ -137,9 +139,9 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 15, batch: int
     labels = np.asarray(labels, np.int64)
     if not len(texts) or labels.min() == labels.max():  # one class only: that class, for any text
         return Model(np.zeros(BUCKETS), 1.0, 4.0 if len(texts) and labels.max() else -4.0)
-    bags = [bag(t) for t in texts]
-    used = telling(bags, labels)
-    bags = [(b[used[b]], w[used[b]] * np.float32(SCALE)) for b, w in bags]
+    used = telling(texts, labels)
+    # Whole bags are made again one at a time: the driver never holds them all.
+    bags = [(b[used[b]], w[used[b]] * np.float32(SCALE)) for b, w in map(bag, texts)]
     table = np.where(used[:, None], rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), 0).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
