@@ -163,6 +163,22 @@ def encode_column(text: Column, path: str) -> Column:
     return run(text)
 
 
+def encode_checked(text: Column, path: str) -> Column:
+    """struct(ids, back) of each text: the ids, and whether they decode to it.  One
+    pass, so a task needs one Python worker and no second copy of the ids."""
+
+    @F.arrow_udf("struct<ids: array<int>, back: boolean>")
+    def run(texts: pa.Array) -> pa.Array:
+        bpe, ids, back = load(path), [], []
+        for t in texts:
+            own = t.as_py() or ""
+            ids.append(bpe.encode(own))
+            back.append(bpe.decode(ids[-1].tolist()) == own)
+        return pa.StructArray.from_arrays([_lists(ids), pa.array(back, pa.bool_())], ["ids", "back"])
+
+    return run(text)
+
+
 def decode_column(ids: Column, path: str) -> Column:
     """The text of each row of token ids; null rows give null, null ids and ids
     without a token are left out."""
@@ -192,20 +208,26 @@ def digest_column(ids: Column, path: str) -> Column:
     return run(ids)
 
 
-def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", long: int = LONG) -> DataFrame:
+def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", checked: str | None = None, long: int = LONG) -> DataFrame:
     """``df`` with ``ids`` (array<int>): the encoding of each whole text.
 
     Equal to what the tokenizers library returns for the file without adding
     special tokens; the strings of special tokens in a text give their ids.
     Null texts count as empty and give no ids.  Texts of at most ``long``
     characters are encoded where they are read; longer ones are cut, spread over
-    tasks and put together again.  A column named like ``ids`` is replaced;
+    tasks and put together again.  With ``checked``, a column of that name tells
+    whether the ids decode to the text.  Columns named like these are replaced;
     repeated rows stay.
     """
-    df = without(df, ids)
+    df = without(df, ids, *([checked] if checked else []))
     body = F.col(f"`{text}`")
     is_long = F.coalesce(F.length(body), F.lit(0)) > long
-    short = df.where(~is_long).withColumn(ids, encode_column(body, path))
+    short = df.where(~is_long)
+    if checked:
+        both = short.withColumn("__both", encode_checked(body, path))
+        short = both.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__both.ids").alias(ids), F.col("__both.back").alias(checked))
+    else:
+        short = short.withColumn(ids, encode_column(body, path))
 
     @F.arrow_udf("array<struct<piece: string, more: boolean>>")
     def cut(texts: pa.Array) -> pa.Array:
@@ -213,14 +235,14 @@ def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", lo
         rows = [[{"piece": p, "more": m} for p, m in bpe.pieces(t.as_py(), long)] for t in texts]
         return pa.array(rows, pa.list_(pa.struct([("piece", pa.string()), ("more", pa.bool_())])))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids: array<int>, back: boolean>")
     def put_together(parts: pa.Array) -> pa.Array:
-        bpe = load(path)
-        out = []
+        bpe, out, back = load(path), [], []
         for row in parts:
             got = row.as_py()
             out.append(bpe.assemble([np.asarray(p["ids"], np.int32) for p in got], [p["more"] for p in got]))
-        return _lists(out)
+            back.append(bpe.decode(out[-1].tolist()) == "".join(p["piece"] for p in got) if checked else None)
+        return pa.StructArray.from_arrays([_lists(out), pa.array(back, pa.bool_())], ["ids", "back"])
 
     rest = [c for c in df.columns if c != text]
     pieces = (
@@ -233,7 +255,10 @@ def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", lo
     whole = (
         pieces.groupBy("row")
         .agg(F.first("rest").alias("rest"), F.array_sort(F.collect_list(F.struct("place", "piece", "more", "ids"))).alias("parts"))
-        .select("rest", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("body"), put_together(F.transform("parts", lambda p: F.struct(p["more"], p["ids"]))).alias("ids"))
-        .select(*[F.col("body").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in df.columns], F.col("ids").alias(ids))
+        .select("rest", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("body"), put_together(F.transform("parts", lambda p: F.struct(p["piece"], p["more"], p["ids"]))).alias("done"))
+        .select(
+            *[F.col("body").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in df.columns],
+            F.col("done.ids").alias(ids), *([F.col("done.back").alias(checked)] if checked else []),
+        )
     )
     return short.unionByName(whole)

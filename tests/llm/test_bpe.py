@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioguard.llm.bpe import decode_column, encode, load
@@ -54,8 +55,6 @@ def test_tables_with_nulls_repeats_and_clashing_names(spark, library):
 
 
 def decode_column_of(name):
-    from pyspark.sql import functions as F
-
     return decode_column(F.col(name), PATH)
 
 
@@ -67,5 +66,12 @@ def test_decoding_of_odd_ids(spark, library):
     assert got[3] == "<|endoftext|> " and got[4] == library.decode([149, 150, 151], skip_special_tokens=False)
 
 
+def test_checked_ids(spark, library):
+    texts = [None, "", "word " * 50, "z" * 500, *ODD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ok", F.lit("theirs"))
+    got = {r["doc_id"]: r for r in encode(df, PATH, checked="ok", long=40).collect()}
+    assert all(got[i]["ok"] is True and got[i]["ids"] == library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
 def test_empty_table(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
