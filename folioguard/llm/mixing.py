@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .common import settle, without
 
 SEED = 17
+#: Patterns up to which the plan is broadcast (some hundred bytes each).
+SMALL_PLAN = 10_000
 
 
 def quotas(sizes: Mapping, weights: Mapping, total: float, most: float) -> dict:
@@ -178,13 +180,13 @@ def mix_sources(
         .where((F.col("__mix_end") - F.col("n") < F.col("__mix_left")) & (F.col("__mix_left") <= F.col("__mix_end")))
         .select("__mix_p", F.col("__mix_b").alias("__mix_edge"), (F.col("__mix_left") - F.col("__mix_end") + F.col("n")).alias("__mix_rest"))
     )
-    # As many rows as the plan; Spark sees their size and joins without a shuffle
-    # of the documents where they are few.
+    # As many rows as the plan, whose number is known: where they are few, the
+    # documents are joined without a shuffle.
     edges = {r["__mix_p"]: (r["__mix_edge"], r["__mix_rest"]) for r in edge.collect()}
     known = spark.createDataFrame(
         [(p, target, times, *edges.get(p, (-1, 0))) for p, target, times, _ in plan], "__mix_p string, target double, __mix_full long, __mix_edge int, __mix_rest long"
     )
-    full = work.join(known, "__mix_p")
+    full = work.join(F.broadcast(known) if len(plan) <= SMALL_PLAN else known, "__mix_p")
     base = F.col("__mix_n") * F.col("__mix_full")
 
     clear = full.where(F.col("__mix_b") != F.col("__mix_edge")).select(
