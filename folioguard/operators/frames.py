@@ -1,14 +1,19 @@
 """Camera frames of a session in batch: movement, states, bursts, edits.
 
-The folds over ordered frames are aggregates over a sorted array of a session's
-few numbers; they are the batch twins of the streaming jobs.
+The folds over ordered frames stream a sorted session through one counter; they
+are the batch twins of the streaming jobs.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 
 def frame_pairs(frames: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -35,25 +40,59 @@ def progress(stable: Column, capture_frames: int = 4) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), stable / float(capture_frames)))
 
 
+def _counted(frames: DataFrame, columns: list[str], step) -> DataFrame:
+    """(``session_id``, ``frame_no``, ``columns``, ``stable``) after each frame.
+
+    Sessions are shuffled, sorted and streamed; a task holds one counter.
+    ``step``: (counter, values of ``columns``) -> counter or None.
+    """
+    kept = frames.select("session_id", "ts", "frame_no", *columns)
+    schema = StructType([f for f in kept.schema.fields if f.name != "ts"]).add("stable", IntegerType())
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stable, begun = None, 0, False
+        for batch in batches:
+            out = []
+            values = [batch.column(c).to_pylist() for c in columns]
+            for session, *row in zip(batch.column("session_id").to_pylist(), *values, strict=True):
+                if not begun or session != at:
+                    at, stable, begun = session, 0, True
+                stable = step(stable, *row)
+                out.append(stable)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(out, pa.int32())], names)
+
+    return kept.repartition("session_id").sortWithinPartitions("session_id", "ts", "frame_no", *columns).mapInArrow(run, schema)
+
+
 def live_states(frames: DataFrame, *, threshold: float = 9.0, ready: int = 4, capture: int = 5) -> DataFrame:
     """(``session_id``, ``frame_no``, ``stable``, ``status``, ``capture``) after
     each frame, in order of (``ts``, ``frame_no``)."""
-    sessions = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_no", "document_detected", "movement"))).alias("f"))
-    step = lambda acc, x: F.concat(acc, F.array(next_stable(F.coalesce(F.element_at(acc, -1), F.lit(0)), x["document_detected"], x["movement"], threshold).cast("int")))
-    counts = F.aggregate("f", F.array(F.lit(0)), step)
-    each = sessions.select("session_id", F.explode(F.arrays_zip(F.transform("f", lambda x: x["frame_no"]).alias("frame_no"), F.transform("f", lambda x: x["document_detected"]).alias("seen"), F.slice(counts, 2, F.size("f")).alias("stable"))).alias("x"))
-    status = F.when(~F.col("x.seen"), "positioning").when(F.col("x.stable") >= ready, "ready").otherwise("moving")
-    return each.select("session_id", "x.frame_no", "x.stable", status.alias("status"), (F.col("x.seen") & (F.col("x.stable") >= capture)).alias("capture"))
+
+    def step(stable: int, seen: bool | None, movement: float | None) -> int:
+        moved = movement is not None
+        nan = moved and movement != movement  # Spark orders it above all numbers
+        if not seen or (moved and not nan and threshold < movement <= threshold * 1.7):
+            return max(0, stable - 1)
+        return stable + 1 if moved and not nan and movement <= threshold else 0
+
+    each = _counted(frames, ["document_detected", "movement"], step)
+    seen, stable = F.col("document_detected"), F.col("stable")
+    status = F.when(~seen, "positioning").when(stable >= ready, "ready").otherwise("moving")
+    return each.select("session_id", "frame_no", "stable", status.alias("status"), (seen & (stable >= capture)).alias("capture"))
 
 
 def stability_counts(frames: DataFrame, *, threshold: float = 4.8, capture: int = 4) -> DataFrame:
     """(``session_id``, ``frame_no``, ``stable``, ``progress``) of the simpler
     counter after each frame, in order of (``ts``, ``frame_no``)."""
-    sessions = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts", "frame_no", "movement"))).alias("f"))
-    step = lambda acc, x: F.concat(acc, F.array(next_counter(F.element_at(acc, -1), x["movement"], threshold).cast("int")))
-    counts = F.aggregate("f", F.array(F.lit(0)), step)
-    each = sessions.select("session_id", F.explode(F.arrays_zip(F.transform("f", lambda x: x["frame_no"]).alias("frame_no"), F.slice(counts, 2, F.size("f")).alias("stable"))).alias("x"))
-    return each.select("session_id", "x.frame_no", "x.stable", progress(F.col("x.stable"), capture).alias("progress"))
+
+    def step(stable: int, movement: float | None) -> int:
+        if movement is None or not math.isfinite(movement):
+            return 0
+        return max(0, stable - 1) if movement > threshold else stable + 1
+
+    each = _counted(frames, ["movement"], step)
+    return each.select("session_id", "frame_no", "stable", progress(F.col("stable"), capture).alias("progress"))
 
 
 def settle_frames(frames: DataFrame, *, threshold: float = 4.8, timeout_ms: int = 1200) -> DataFrame:
