@@ -120,7 +120,8 @@ def corrected_slots(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.folder_documents(spark, sf)
     low = fx.table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("id")).distinct().join(docs.select("folder_id", "id"), "id")
     turns = low.select("folder_id", "id", F.explode(F.array(F.struct(F.col("id").alias("turn"), fx.slot_of(F.col("id") % 5).alias("wanted")), F.struct((F.col("id") + 100_000_000).alias("turn"), fx.slot_of((F.col("id") + 2) % 5).alias("wanted")))).alias("s"))
-    return folder.assign_slots(docs.where("id % 6 = 0 or slot is null or id % 4 = 1"), turns.select("folder_id", "id", "s.turn", "s.wanted"))
+    docs = docs.withColumn("slot", F.when(F.expr("id % 6 = 0 or id % 4 = 1"), F.col("slot")))
+    return folder.assign_slots(docs, turns.select("folder_id", "id", "s.turn", "s.wanted"))
 
 
 def latest_drafts(spark: SparkSession, sf: str) -> DataFrame:

@@ -161,7 +161,8 @@ def review_clicks(spark: SparkSession, sf: str) -> DataFrame:
     found = detect.detect(fx.ocr_words(spark, sf)).select("doc_id", "detection_id", "selected")
     first = found.select("doc_id", F.lit(-1).cast("long").alias("seq"), F.array("detection_id").alias("ids"), F.col("selected").alias("start"))
     every = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("detection_id")).alias("all"))
-    e = fx.table(spark, sf, "events").select((F.col("user_id") % 200).alias("doc_id"), F.col("event_id").alias("seq")).join(every, "doc_id")
+    last = fx.table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("ids"))
+    e = fx.table(spark, sf, "events").crossJoin(F.broadcast(last)).select(F.pmod(F.xxhash64("user_id", "event_id"), "ids").alias("doc_id"), F.col("event_id").alias("seq")).join(every, "doc_id")
     clicks = e.select("doc_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("all")).otherwise(F.slice("all", 1, 1)).alias("ids"), F.lit(None).cast("boolean").alias("start"))
     return edits.review_clicks(first.unionByName(clicks)).withColumn("selected", F.array_join("selected", ","))
 
