@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import ID_LABEL, SOCIAL_CONTEXT, TAX_CONTEXT
-from .text import normalize_token
+from .text import normalize_token, once
 
 SOCIAL, TAX = "[0-9]{8}[A-Z][0-9]{3}", "[0-9]{11}"
-IBAN_HINT = "[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"
+IBAN_SHAPE = "[A-Z]{2}[0-9]{2}"
+IBAN_HINT = IBAN_SHAPE + "[A-Z0-9]{11}"
 
 
 def _compact_iban_ok(iban: Column) -> Column:
@@ -29,16 +30,21 @@ def is_valid_iban(value: Column) -> Column:
 def find_ibans(compact: Column) -> Column:
     """array<struct<value, start>> of the shortest valid IBAN at each place of a
     compact line that looks like one; starts count from 0."""
-    n = F.length(compact)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n - 14, F.lit(1))), lambda i: F.substr(compact, i, F.lit(4)).rlike("^[A-Z]{2}[0-9]{2}$"))
+    none = F.array().cast("array<struct<value: string, start: int>>")
 
-    def shortest(i: Column) -> Column:
-        lengths = F.sequence(F.lit(15), F.greatest(F.least(F.lit(34), n - i + 1), F.lit(15)))
-        fits = F.filter(lengths, lambda k: (i + k - 1 <= n) & _compact_iban_ok(F.substr(compact, i, k)))
-        return F.struct(F.substr(compact, i, F.get(fits, F.lit(0))).alias("value"), (i - 1).alias("start"))
+    def shortest(start: Column) -> Column:
+        def of(head: Column) -> Column:
+            fits = F.filter(F.sequence(F.lit(15), F.length(head)), lambda k: _compact_iban_ok(F.substr(head, F.lit(1), k)))
+            return F.struct(F.substr(head, F.lit(1), F.get(fits, F.lit(0))).alias("value"), start.alias("start"))
 
+        return once(F.substr(compact, start + 1, F.lit(34)), of)
+
+    # Each piece but a first one that does not look like it begins at such a place.
+    pieces = F.split(compact, f"(?={IBAN_HINT})", -1)
+    ends = lambda p: F.transform(p, lambda _, i: F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)))
+    starts = once(pieces, lambda p: F.filter(ends(p), lambda n, i: F.get(p, i).rlike(f"^{IBAN_SHAPE}")))
     found = F.filter(F.transform(starts, shortest), lambda m: m["value"].isNotNull())
-    return F.when(compact.rlike(IBAN_HINT), found).otherwise(F.array().cast("array<struct<value: string, start: int>>"))
+    return F.when(compact.rlike(IBAN_HINT), found).otherwise(none)
 
 
 def all_matches(compact: Column, pattern: str, length: int) -> Column:
@@ -66,21 +72,32 @@ def is_social_security_number(line: Column, value: Column) -> Column:
 def identity_number(text: Column) -> Column:
     """struct(value, start) of the 8 to 12 characters behind the first label;
     null without one."""
-    compact = normalize_token(text)
     pattern = f"(?:{ID_LABEL})([A-Z0-9]{{8,12}})"
-    whole, value = F.regexp_extract(compact, pattern, 0), F.regexp_extract(compact, pattern, 1)
-    start = F.instr(compact, whole) - 1 + F.length(whole) - F.length(value)
-    return F.when(whole != "", F.struct(value.alias("value"), start.cast("int").alias("start")))
+
+    def of(compact: Column) -> Column:
+        def made(whole: Column) -> Column:
+            value = F.regexp_extract(whole, pattern, 1)
+            start = F.instr(compact, whole) - 1 + F.length(whole) - F.length(value)
+            return F.struct(value.alias("value"), start.cast("int").alias("start"))
+
+        return once(F.regexp_extract(compact, pattern, 0), lambda whole: F.when(whole != "", made(whole)))
+
+    return once(normalize_token(text), of)
 
 
 def is_mrz_line(text: Column) -> Column:
     """Twenty machine characters with three fillers, or with a document prefix, 24
     other characters and six digits in a row."""
-    machine = F.regexp_replace(F.upper(text), "[^A-Z0-9<]", "")
-    compact = F.replace(machine, F.lit("<"), F.lit(""))
-    prefix = compact.rlike("^I[D0]D") | compact.rlike("^P[A-Z0-9]{1,3}")
-    fillers = F.length(machine) - F.length(compact)
-    return (F.length(machine) >= 20) & ((fillers >= 3) | (prefix & (F.length(compact) >= 24) & compact.rlike("[0-9]{6}")))
+
+    def of(machine: Column) -> Column:
+        def judged(compact: Column) -> Column:
+            prefix = compact.rlike("^(?:I[D0]D|P[A-Z0-9])")
+            fillers = F.length(machine) - F.length(compact)
+            return (F.length(machine) >= 20) & ((fillers >= 3) | (prefix & (F.length(compact) >= 24) & compact.rlike("[0-9]{6}")))
+
+        return once(F.replace(machine, F.lit("<"), F.lit("")), judged)
+
+    return once(F.regexp_replace(F.upper(text), "[^A-Z0-9<]", ""), of)
 
 
 def is_signature_label(normalized: Column) -> Column:

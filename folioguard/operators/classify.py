@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import half_up, normalize_text
+from ..functions.text import half_up, normalize_text, once
 from ..rules import CLASSIFICATION, LEAST_SCORE, OTHER
 
 
@@ -45,12 +45,6 @@ def has_keyword(normalized: Column, pattern: str) -> Column:
     return found if None in sure else reduce(lambda a, b: a | b, [normalized.contains(x) for x in sure]) & found
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed a single time: it is bound to the
-    variable of a one-element transform, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def keyword_scores(normalized: Column, rules=CLASSIFICATION) -> Column:
     """array<struct<score, order, type, matches>>, best first: higher score, then
     the earlier rule."""

@@ -1,7 +1,8 @@
 """From OCR words to detections.
 
-One shuffle on the document brings its words together; lines, rules, the nearest
-labelled number and the removal of repeats all use that partitioning.
+Words are read and shuffled once, to their lines.  What the rules find in a line,
+and the words that matter beyond it, leave it as marks; these few are shuffled by
+document, where windows choose among them.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import half_up
-from ..functions.validators import IBAN_HINT, SOCIAL, TAX, all_matches, find_ibans, identity_number, is_mrz_line, is_signature_label, is_social_security_number, is_tax_id
+from ..functions.text import half_up, once
+from ..functions.validators import SOCIAL, TAX, all_matches, find_ibans, identity_number, is_mrz_line, is_signature_label, is_social_security_number, is_tax_id
 from ..rules import ID_LABEL, ID_LABEL_TOKEN, ID_NUMBER, MRZ, SIGNATURE
 
 WORD = ("left", "word_seq", "text", "normalized", "top", "width", "height", "confidence")
@@ -42,70 +43,91 @@ def mean_confidence(words: Column) -> Column:
 
 
 def words_in(words: Column, start: Column, end: Column) -> Column:
-    """The words of a line that a range of its compact text touches."""
-    ends = F.transform(words, lambda w, i: F.aggregate(F.slice(words, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x["normalized"])))
-    return F.filter(words, lambda w, i: (F.get(ends, i) > start) & (F.get(ends, i) - F.length(w["normalized"]) < end))
+    """The words of a line that a range of its compact text touches, by one pass
+    over the line."""
+    none = F.struct(F.lit(0).alias("at"), F.filter(words, lambda w: F.lit(False)).alias("found"))
 
+    def step(state: Column, w: Column) -> Column:
+        at = state["at"] + F.length(w["normalized"])
+        touched = (at > start) & (state["at"] < end)
+        return F.struct(at.alias("at"), F.when(touched, F.array_append(state["found"], w)).otherwise(state["found"]).alias("found"))
 
-def line_hits(lines: DataFrame) -> DataFrame:
-    """Hits of the line rules: ``label``, ``value``, matched ``words`` and the
-    ``seq`` in which rules find them.  Lines without a hit go no further."""
-    compact = F.col("compact")
-    # One look at each line first: nearly all have nothing that a rule could find.
-    lines = lines.where(compact.rlike(f"{IBAN_HINT}|{SOCIAL}|{TAX}|(?:{ID_LABEL})[A-Z0-9]{{8}}") | is_mrz_line(F.col("raw")))
-    none = F.array().cast("array<struct<label: string, value: string, start: int, end: int>>")
+    return F.aggregate(words, none, step, lambda state: state["found"])
+
+
+HIT = "array<struct<label: string, value: string, start: int, end: int>>"
+
+
+def line_hits(compact: Column, raw: Column) -> Column:
+    """array<struct<label, value, start, end>> of what the line rules find, in
+    their order."""
+    none = F.array().cast(HIT)
 
     def tagged(label: str, matches: Column) -> Column:
         made = F.transform(matches, lambda m: F.struct(F.lit(label).alias("label"), m["value"].alias("value"), m["start"].cast("int").alias("start"), (m["start"] + F.length(m["value"])).cast("int").alias("end")))
         return F.coalesce(made, none)
 
-    number = identity_number(compact)
+    def if_any(pattern: str, label: str, length: int, holds) -> Column:
+        return F.when(compact.rlike(pattern), tagged(label, F.filter(all_matches(compact, pattern, length), lambda m: holds(compact, m["value"])))).otherwise(none)
+
     whole = F.struct(F.lit(MRZ).alias("label"), F.lit("MRZ-Zeile").alias("value"), F.lit(0).alias("start"), F.length(compact).alias("end"))
-    hits = F.concat(
+    number = once(identity_number(compact), lambda n: F.when(n.isNotNull(), tagged(ID_NUMBER, F.array(n))).otherwise(none))
+    return F.concat(
         tagged("IBAN", find_ibans(compact)),
-        tagged("Sozialversicherungsnummer", F.filter(all_matches(compact, SOCIAL, 12), lambda m: is_social_security_number(compact, m["value"]))),
-        tagged("Steuer-ID", F.filter(all_matches(compact, TAX, 11), lambda m: is_tax_id(compact, m["value"]))),
-        F.when(number.isNotNull(), tagged(ID_NUMBER, F.array(number))).otherwise(none),
-        F.when(is_mrz_line(F.col("raw")), F.array(whole)).otherwise(none),
-    )
-    found = lines.withColumn("hits", hits).where(F.size("hits") > 0).select("doc_id", "line_seq", "words", F.posexplode("hits").alias("place", "hit"))
-    return found.select(
-        "doc_id", F.struct(F.lit(0).alias("part"), "line_seq", "place").alias("seq"), "hit.label", "hit.value",
-        words_in(F.col("words"), F.col("hit.start"), F.col("hit.end")).alias("words"), F.lit(True).alias("selected"),
+        if_any(SOCIAL, "Sozialversicherungsnummer", 12, is_social_security_number),
+        if_any(TAX, "Steuer-ID", 11, is_tax_id),
+        F.when(compact.rlike(ID_LABEL), number).otherwise(none),
+        F.when(is_mrz_line(raw), F.array(whole)).otherwise(none),
     )
 
 
-def nearest_labelled_number(words: DataFrame) -> DataFrame:
-    """The identity number nearest below a label, for each document that has one:
-    of the first label with a candidate, the nearest, then the first in input
-    order.  Both sides are rare and filtered before they meet."""
-    label = words.where(F.col("normalized").rlike(f"^(?:{ID_LABEL_TOKEN})$")).select(
-        "doc_id", F.col("word_seq").alias("label_seq"), F.col("left").alias("label_left"), (F.col("top") + F.col("height")).alias("label_bottom"), F.col("height").alias("label_height")
-    )
-    value = words.where(F.col("normalized").rlike("^[A-Z0-9]{8,12}$") & F.col("normalized").rlike("[A-Z]") & F.col("normalized").rlike("[0-9]"))
-    down, across = F.col("top") - F.col("label_bottom"), F.abs(F.col("left") - F.col("label_left"))
-    near = value.join(label, "doc_id").where((down >= -4) & (down <= F.greatest(F.lit(80.0), F.col("label_height") * 5)) & (across <= 180))
-    order = W.partitionBy("doc_id").orderBy("label_seq", F.abs(down) + across * 0.2, "word_seq")
-    return near.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "label_seq", "label_left", "label_bottom", "label_height")
+def line_marks(lines: DataFrame) -> DataFrame:
+    """(``doc_id``, ``role``, ``seq``, ``label``, ``value``, ``selected``,
+    ``words``): hits of the line rules (``hit``), signature labels (``sign``), and
+    the words that the nearest labelled number is looked for among, ``label`` and
+    ``value``.  ``seq`` is the order in which rules find them."""
+    compact, raw = F.col("compact"), F.col("raw")
+    # One look at each line first: most have nothing that a rule could use.
+    some = lines.where(compact.rlike(f"[0-9]|UNTERSCHRIFT|SIGNATURE|{ID_LABEL}|{ID_LABEL_TOKEN}") | (F.length(raw) - F.length(F.replace(raw, F.lit("<"), F.lit(""))) >= 3))
+    seq = lambda part, line, place: F.struct(F.lit(part).alias("part"), line.alias("line_seq"), place.alias("place"))
+
+    def mark(role: str, at: Column, label: Column, value: Column, selected: bool, words: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), at.alias("seq"), label.alias("label"), value.alias("value"), F.lit(selected).alias("selected"), words.alias("words"))
+
+    def of_word(role: str, part: int, label: str, selected: bool, value: str | None = None):
+        return lambda w: mark(role, seq(part, w["word_seq"], F.lit(0)), F.lit(label), w["normalized"] if value is None else F.lit(value), selected, F.array(w))
+
+    words = F.col("words")
+    hits = F.transform(line_hits(compact, raw), lambda h, i: mark("hit", seq(0, F.col("line_seq"), i), h["label"], h["value"], True, words_in(words, h["start"], h["end"])))
+    signs = F.transform(F.filter(words, lambda w: is_signature_label(w["normalized"])), of_word("sign", 2, SIGNATURE, False, "Bitte visuell prüfen"))
+    labels = F.transform(F.filter(words, lambda w: w["normalized"].rlike(f"^(?:{ID_LABEL_TOKEN})$")), of_word("label", 1, ID_NUMBER, True))
+    is_value = lambda n: F.length(n).between(8, 12) & n.rlike("[0-9]") & n.rlike("^[A-Z0-9]+$") & n.rlike("[A-Z]")
+    values = F.transform(F.filter(words, lambda w: is_value(w["normalized"])), of_word("value", 1, ID_NUMBER, True))
+    return some.select("doc_id", F.inline(F.concat(hits, signs, labels, values)))
 
 
 def detect(words: DataFrame) -> DataFrame:
     """All detections of a word table: ``doc_id``, ``detection_id``, ``label``,
     ``value``, ``confidence``, ``selected``, ``bbox`` and ``seq``.
 
-    The nearest labelled number only counts where no line has an identity number.
-    Of repeats with one label, rounded corner and value the first stays.
+    The identity number nearest below a label only counts where no line of the
+    document has one: of the first label with a candidate, the nearest, then the
+    first in input order.  Of repeats with one label, rounded corner and value the
+    first stays.
     """
-    own = words.select("doc_id", "line_key", *WORD)
-    hits = line_hits(assemble_lines(own))
-    as_words = lambda: F.array(F.struct(*[F.col(c) for c in WORD]))
-    seq = lambda part: F.struct(F.lit(part).alias("part"), F.col("word_seq").alias("line_seq"), F.lit(0).alias("place"))
-    numbered = hits.where(F.col("label") == ID_NUMBER).select("doc_id").distinct()
-    lone = nearest_labelled_number(own).join(numbered, "doc_id", "left_anti")
-    lone = lone.select("doc_id", seq(1).alias("seq"), F.lit(ID_NUMBER).alias("label"), F.col("normalized").alias("value"), as_words().alias("words"), F.lit(True).alias("selected"))
-    signed = own.where(is_signature_label(F.col("normalized")))
-    signed = signed.select("doc_id", seq(2).alias("seq"), F.lit(SIGNATURE).alias("label"), F.lit("Bitte visuell prüfen").alias("value"), as_words().alias("words"), F.lit(False).alias("selected"))
-    found = hits.unionByName(lone).unionByName(signed).select(
+    marks = line_marks(assemble_lines(words.select("doc_id", "line_key", *WORD)))
+    doc = W.partitionBy("doc_id")
+    own = F.get("words", F.lit(0))
+    label = F.when(F.col("role") == "label", F.struct(own["word_seq"].alias("seq"), own["left"].alias("left"), (own["top"] + own["height"]).alias("bottom"), own["height"].alias("height")))
+    down, across = lambda l: own["top"] - l["bottom"], lambda l: F.abs(own["left"] - l["left"])
+    near = lambda l: (down(l) >= -4) & (down(l) <= F.greatest(F.lit(80.0), l["height"] * 5)) & (across(l) <= 180)
+    rank = lambda l: F.struct(l["seq"].alias("label_seq"), (F.abs(down(l)) + across(l) * 0.2).alias("far"), own["word_seq"].alias("word_seq"))
+    placed = marks.withColumns(
+        {"labels": F.collect_list(label).over(doc), "numbered": F.max((F.col("role") == "hit") & (F.col("label") == ID_NUMBER)).over(doc)}
+    )
+    ranked = placed.withColumn("rank", F.when((F.col("role") == "value") & ~F.col("numbered"), F.array_min(F.transform(F.filter("labels", near), rank)))).drop("labels")
+    nearest = F.coalesce(F.col("rank") == F.min("rank").over(doc), F.lit(False))
+    found = ranked.withColumn("nearest", nearest).where(F.col("role").isin("hit", "sign") | F.col("nearest")).select(
         "doc_id", "label", "value", mean_confidence(F.col("words")).alias("confidence"), "selected", union_box(F.col("words")).alias("bbox"), "seq"
     )
     return first_of_each(found.withColumn("detection_id", detection_key(F.col("label"), F.col("bbox"), F.col("value"))))
