@@ -38,11 +38,23 @@ def anchor(alternative: str) -> str | None:
     return max(re.findall("[A-ZÄÖÜ]{3,}|<", sure), key=len, default=None)
 
 
+def anchors(alternative: str) -> list[str] | None:
+    """Strings of which each match of ``alternative`` contains one: its anchor, or
+    those of a group that it cannot do without."""
+    if sure := anchor(alternative):
+        return [sure]
+    for group in re.finditer(r"\(\?:((?:[^()]|\(\?:[^()]*\)\??)*)\)(?![?*])", alternative):
+        inner = [anchor(x) for x in alternatives(group.group(1))]
+        if None not in inner:
+            return inner
+    return None
+
+
 def has_keyword(normalized: Column, pattern: str) -> Column:
     """Whether ``pattern`` matches; texts without its anchors never reach it."""
     found = normalized.rlike(ascii_bounds(pattern))
-    sure = [anchor(x) for x in alternatives(pattern)]
-    return found if None in sure else reduce(lambda a, b: a | b, [normalized.contains(x) for x in sure]) & found
+    sure = [anchors(x) for x in alternatives(pattern)]
+    return found if None in sure else reduce(lambda a, b: a | b, [normalized.contains(x) for some in sure for x in some]) & found
 
 
 def keyword_scores(normalized: Column, rules=CLASSIFICATION) -> Column:
