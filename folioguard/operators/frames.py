@@ -7,13 +7,17 @@ are the batch twins of the streaming jobs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructType
+
+#: Fixed value: with so many missed frames in a row a document is lost.
+MISSES = 8
+CORNERS = tuple((name, axis) for name in ("top_left", "top_right", "bottom_right", "bottom_left") for axis in ("x", "y"))
 
 
 def frame_pairs(frames: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -40,44 +44,95 @@ def progress(stable: Column, capture_frames: int = 4) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), stable / float(capture_frames)))
 
 
-def _counted(frames: DataFrame, columns: list[str], step) -> DataFrame:
-    """(``session_id``, ``frame_no``, ``columns``, ``stable``) after each frame.
+def _folded(frames: DataFrame, columns: list[str], start: Callable[[], tuple], step: Callable[..., tuple], added: list[tuple]) -> DataFrame:
+    """(``session_id``, ``frame_no``, ``columns``, ``added``) after each frame.
 
-    Sessions are shuffled, sorted and streamed; a task holds one counter.
-    ``step``: (counter, values of ``columns``) -> counter or None.
+    Sessions are shuffled, sorted and streamed; a task holds one state.
+    ``step``: (state, values of ``columns``) -> state, whose first numbers are the
+    values of ``added`` ((name, Spark type, Arrow type) each).
     """
     kept = frames.select("session_id", "ts", "frame_no", *columns)
-    schema = StructType([f for f in kept.schema.fields if f.name != "ts"]).add("stable", IntegerType())
+    schema = StructType([f for f in kept.schema.fields if f.name != "ts"])
     names = [f.name for f in schema.fields]
+    for name, kind, _ in added:
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stable, begun = None, 0, False
+        at, state, begun = None, start(), False
         for batch in batches:
             out = []
             values = [batch.column(c).to_pylist() for c in columns]
             for session, *row in zip(batch.column("session_id").to_pylist(), *values, strict=True):
                 if not begun or session != at:
-                    at, stable, begun = session, 0, True
-                stable = step(stable, *row)
-                out.append(stable)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(out, pa.int32())], names)
+                    at, state, begun = session, start(), True
+                state = step(state, *row)
+                out.append(state)
+            made = [pa.array([x[i] for x in out], kind) for i, (_, _, kind) in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], [*names, *[n for n, _, _ in added]])
 
-    return kept.repartition("session_id").sortWithinPartitions("session_id", "ts", "frame_no", *columns).mapInArrow(run, schema)
+    return kept.repartition("session_id").sortWithinPartitions("session_id", "ts", "frame_no").mapInArrow(run, schema)
 
 
-def live_states(frames: DataFrame, *, threshold: float = 9.0, ready: int = 4, capture: int = 5) -> DataFrame:
-    """(``session_id``, ``frame_no``, ``stable``, ``status``, ``capture``) after
-    each frame, in order of (``ts``, ``frame_no``)."""
+def smooth(previous: list[float] | None, current: list[float], weight: float = 0.58, jump: float = 0.18) -> list[float]:
+    """Eight numbers, x and y of each corner: a moving average that starts again
+    where the corners jump."""
+    if not previous:
+        return current
+    far = sum(math.hypot(previous[i] - current[i], previous[i + 1] - current[i + 1]) for i in range(0, 8, 2)) / 4
+    return current if far > jump else [p * (1 - weight) + c * weight for p, c in zip(previous, current, strict=True)]
+
+
+def track(misses: int, corners: list[float] | None, detected: bool | None, current: list[float] | None) -> tuple[int, list[float] | None, bool]:
+    """Misses in a row, tracked corners, and whether the document counts as seen
+    after a frame: for up to seven frames that miss it; with the eighth its
+    corners are dropped.  The average runs on the tracked corners."""
+    if detected:
+        return 0, smooth(corners, current) if current is not None else corners, True
+    misses += 1
+    corners = None if misses >= MISSES else corners
+    return misses, corners, corners is not None
+
+
+def _with_flat_corners(frames: DataFrame) -> DataFrame:
+    """``corners`` as eight numbers, null where one is or where there are none."""
+    if "corners" not in frames.columns:
+        return frames.withColumn("corners", F.lit(None).cast("array<double>"))
+    numbers = F.array(*[F.col(f"corners.{n}.{a}").cast("double") for n, a in CORNERS])
+    return frames.withColumn("corners", F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers))
+
 
-    def step(stable: int, seen: bool | None, movement: float | None) -> int:
-        moved = movement is not None
-        nan = moved and movement != movement  # Spark orders it above all numbers
-        if not seen or (moved and not nan and threshold < movement <= threshold * 1.7):
-            return max(0, stable - 1)
-        return stable + 1 if moved and not nan and movement <= threshold else 0
+def tracked_corners(frames: DataFrame) -> DataFrame:
+    """(``session_id``, ``frame_no``, ``seen``, ``tracked``: eight numbers or null)
+    after each frame, in order of (``ts``, ``frame_no``)."""
 
-    each = _counted(frames, ["document_detected", "movement"], step)
-    seen, stable = F.col("document_detected"), F.col("stable")
+    def step(state: tuple, detected: bool | None, current: list[float] | None) -> tuple:
+        misses, corners, seen = track(state[2], state[1], detected, current)
+        return seen, corners, misses
+
+    added = [("seen", BooleanType(), pa.bool_()), ("tracked", ArrayType(DoubleType()), pa.list_(pa.float64()))]
+    each = _folded(_with_flat_corners(frames), ["document_detected", "corners"], lambda: (False, None, 0), step, added)
+    return each.select("session_id", "frame_no", "seen", "tracked")
+
+
+def live_states(frames: DataFrame, *, threshold: float = 9.0, ready: int = 4, capture: int = 5) -> DataFrame:
+    """(``session_id``, ``frame_no``, ``stable``, ``status``, ``capture``) after
+    each frame, in order of (``ts``, ``frame_no``).  A document stays seen over
+    missed frames as ``track`` says; a movement that is null or no number counts
+    as too much."""
+
+    def step(state: tuple, detected: bool | None, movement: float | None, current: list[float] | None) -> tuple:
+        stable, _, misses, corners = state
+        misses, corners, seen = track(misses, corners, detected, current)
+        moved = math.inf if movement is None or movement != movement else movement
+        if seen and moved <= threshold:
+            stable += 1
+        else:
+            stable = max(0, stable - 1) if not seen or moved <= threshold * 1.7 else 0
+        return stable, seen, misses, corners
+
+    added = [("stable", IntegerType(), pa.int32()), ("seen", BooleanType(), pa.bool_())]
+    each = _folded(_with_flat_corners(frames), ["document_detected", "movement", "corners"], lambda: (0, False, 0, None), step, added)
+    seen, stable = F.col("seen"), F.col("stable")
     status = F.when(~seen, "positioning").when(stable >= ready, "ready").otherwise("moving")
     return each.select("session_id", "frame_no", "stable", status.alias("status"), (seen & (stable >= capture)).alias("capture"))
 
@@ -86,12 +141,12 @@ def stability_counts(frames: DataFrame, *, threshold: float = 4.8, capture: int
     """(``session_id``, ``frame_no``, ``stable``, ``progress``) of the simpler
     counter after each frame, in order of (``ts``, ``frame_no``)."""
 
-    def step(stable: int, movement: float | None) -> int:
+    def step(state: tuple, movement: float | None) -> tuple:
         if movement is None or not math.isfinite(movement):
-            return 0
-        return max(0, stable - 1) if movement > threshold else stable + 1
+            return (0,)
+        return (max(0, state[0] - 1) if movement > threshold else state[0] + 1,)
 
-    each = _counted(frames, ["movement"], step)
+    each = _folded(frames, ["movement"], lambda: (0,), step, [("stable", IntegerType(), pa.int32())])
     return each.select("session_id", "frame_no", "stable", progress(F.col("stable"), capture).alias("progress"))
 
 
@@ -112,15 +167,6 @@ def sharpest(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session_id", "burst").agg(best.alias("b")).select("session_id", "burst", "b.frame_no", "b.score")
 
 
-def smoothed(previous: Column, current: Column, weight: float = 0.58, jump: float = 0.18) -> Column:
-    """Corners as a moving average; a jump starts again."""
-    from ..functions.geometry import NAMES, distance
-
-    mean = sum((distance(previous[n], current[n]) for n in NAMES), F.lit(0.0)) / 4
-    point = lambda n: F.struct(*[(previous[n][a] * (1 - weight) + current[n][a] * weight).alias(a) for a in ("x", "y")])
-    return F.when(previous.isNull() | (mean > jump), current).otherwise(F.struct(*[point(n).alias(n) for n in NAMES]))
-
-
 def latest_states(log: DataFrame) -> DataFrame:
     """The last state of each document by (``ts``, ``seq``); an error resets the
     number of detections."""

@@ -25,7 +25,10 @@ def assignment_review(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def folder_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    return folder.completeness(fx.folder_documents(spark, sf).where("id % 4 = 0 or slot <> 'Ausweiskopie'")).withColumn("missing", F.array_join("missing", ","))
+    """The slot of an identity card is emptied in folders of even length, so that
+    slots are missing."""
+    slot = F.when((F.col("slot") != "Ausweiskopie") | (F.length("folder_id") % 2 == 1), F.col("slot"))
+    return folder.completeness(fx.folder_documents(spark, sf).withColumn("slot", slot)).withColumn("missing", F.array_join("missing", ","))
 
 
 def slot_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,15 +85,22 @@ def folders(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("folder_id", (F.length("folder_id") % 2 == 0).alias("include_cover"), F.when(F.col("folder_id") != "src3", F.col("folder_id")).alias("applicant_name"))
 
 
+def finished(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan states, where folders whose name has an odd length are done."""
+    docs = fx.table(spark, sf, "documents").select(F.col("source").alias("folder_id"), "doc_id")
+    states = docs.join(fx.scan_states(spark, sf), ["folder_id", "doc_id"], "left")
+    return states.withColumn("status", F.when(F.length("folder_id") % 2 == 1, "done").otherwise(F.col("status"))).where("status is not null")
+
+
 def export_readiness(spark: SparkSession, sf: str) -> DataFrame:
-    """Folders with an odd number only hold documents that are done."""
-    docs = fx.folder_documents(spark, sf).where("id % 2 = 0 or id % 7 < 3")
-    return folder.export_readiness(folders(spark, sf), docs, fx.scan_states(spark, sf))
+    """All documents of folders of odd length have been scanned by now."""
+    return folder.export_readiness(folders(spark, sf), fx.folder_documents(spark, sf), finished(spark, sf))
 
 
 def export_gate(spark: SparkSession, sf: str) -> DataFrame:
-    states = fx.scan_states(spark, sf).select(F.col("doc_id").alias("id"), "status")
-    docs = fx.folder_documents(spark, sf).where("id % 2 = 0 or id % 7 < 3").join(states, "id", "left").withColumn("rendered", F.col("id") % 2 == 1)
+    """In folders of odd length all is scanned and rendered."""
+    states = finished(spark, sf).select(F.col("doc_id").alias("id"), "status")
+    docs = fx.folder_documents(spark, sf).join(states, "id", "left").withColumn("rendered", (F.length("folder_id") % 2 == 1) | (F.col("id") % 2 == 1))
     return folder.export_gate(folders(spark, sf), docs)
 
 
@@ -177,7 +187,8 @@ SELECT folder_id, id, CASE WHEN slot IS NULL OR confidence < 65 OR detected IS N
        CASE WHEN slot IS NOT NULL AND confidence >= 65 THEN detected END AS detected_slot,
        CASE WHEN slot IS NULL OR confidence < 65 THEN 'Die Zuordnung konnte noch nicht sicher verglichen werden.' WHEN detected IS NULL THEN type || ' ist keiner Pflichtkategorie eindeutig zugeordnet.'
             WHEN detected <> slot THEN 'Unter „' || slot || '“ abgelegt, aber als „' || type || '“ erkannt. Bitte prüfen.' ELSE type || ' passt zur Kategorie „' || slot || '“.' END AS message FROM j""",
-    "folder_completeness": f"""WITH {DOCS}, g AS (SELECT folder_id, list(DISTINCT slot) FILTER (slot IS NOT NULL) AS present FROM docs WHERE id % 4 = 0 OR slot <> 'Ausweiskopie' GROUP BY ALL)
+    "folder_completeness": f"""WITH {DOCS}, e AS (SELECT folder_id, CASE WHEN slot <> 'Ausweiskopie' OR length(folder_id) % 2 = 1 THEN slot END AS slot FROM docs),
+g AS (SELECT folder_id, list(DISTINCT slot) FILTER (slot IS NOT NULL) AS present FROM e GROUP BY ALL)
 SELECT folder_id, coalesce(len(present), 0)::INT AS completed, 5 AS total, floor(coalesce(len(present), 0) * 100.0 / 5 + 0.5)::INT AS percent,
        array_to_string(list_filter({SLOT_LIST}, lambda s: NOT list_contains(coalesce(present, []), s)), ',') AS missing FROM g""",
     "slot_coverage": f"""WITH {DOCS}, grid AS (SELECT folder_id, unnest({SLOT_LIST}) AS slot, unnest(range(0, 5))::INT AS slot_ord FROM (SELECT DISTINCT folder_id FROM docs)),
@@ -202,10 +213,10 @@ FROM a LEFT JOIN (SELECT id AS doc_id, status FROM states WHERE id % 5 <> 0) USI
     "batch_progress": f"""WITH {DOCS} SELECT folder_id, count(*) FILTER (status = 'done') AS completed, count(*) AS total,
        floor(sum(CASE WHEN status = 'done' THEN 1 ELSE greatest(0, least(1, coalesce(progress, 0))) END) / count(*) * 100 + 0.5)::INT AS percent
 FROM docs LEFT JOIN states USING (folder_id, id) GROUP BY ALL""",
-    "export_readiness": f"""WITH {DOCS}, {FOLDERS}, g AS (SELECT folder_id, bool_and(coalesce(status = 'done', false)) AS ready FROM docs LEFT JOIN states USING (folder_id, id) WHERE id % 2 = 0 OR id % 7 < 3 GROUP BY ALL)
+    "export_readiness": f"""WITH {DOCS}, {FOLDERS}, g AS (SELECT folder_id, bool_and(length(folder_id) % 2 = 1 OR coalesce(status = 'done', false)) AS ready FROM docs LEFT JOIN states USING (folder_id, id) GROUP BY ALL)
 SELECT folder_id, coalesce(ready, false) AS ready FROM folders LEFT JOIN g USING (folder_id)""",
     "export_gate": f"""WITH {DOCS}, {FOLDERS},
-g AS (SELECT folder_id, count(*) FILTER (status = 'done' AND id % 2 = 1) AS good, count(*) AS n FROM docs LEFT JOIN states USING (folder_id, id) WHERE id % 2 = 0 OR id % 7 < 3 GROUP BY ALL),
+g AS (SELECT folder_id, count(*) FILTER (length(folder_id) % 2 = 1 OR status = 'done' AND id % 2 = 1) AS good, count(*) AS n FROM docs LEFT JOIN states USING (folder_id, id) GROUP BY ALL),
 r AS (SELECT folder_id, CASE WHEN coalesce(good, 0) = 0 THEN 'nothing to export' WHEN good <> n THEN 'unchecked documents' WHEN include_cover AND trim(coalesce(applicant_name, '')) = '' THEN 'name missing' END AS reason
       FROM folders LEFT JOIN g USING (folder_id))
 SELECT folder_id, reason IS NULL AS allowed, reason FROM r""",

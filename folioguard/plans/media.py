@@ -121,9 +121,8 @@ def settled_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def smoothed_corners(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = frames.frame_pairs(fx.frames(spark, sf), ("corners",))
-    c = pairs.select("session_id", "frame_no", frames.smoothed(F.col("previous_corners"), F.col("corners")).alias("c"))
-    return c.select("session_id", "frame_no", F.round("c.top_left.x", 9).alias("x"), F.round("c.bottom_right.y", 9).alias("y"))
+    c = frames.tracked_corners(fx.frames(spark, sf))
+    return c.select("session_id", "frame_no", "seen", F.round(F.get("tracked", F.lit(0)), 9).alias("x"), F.round(F.get("tracked", F.lit(5)), 9).alias("y"))
 
 
 def latest_scan_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,6 +213,17 @@ SELECT vec_id, round(area, 9) AS area, valid,
        round(least(cw, ch), 6) AS short_edge, greatest(1, floor(cw * least(1, 2400 / greatest(cw, ch)) + 0.5))::INT AS crop_width, greatest(1, floor(ch * least(1, 2400 / greatest(cw, ch)) + 0.5))::INT AS crop_height FROM d"""
 
 
+# The corners of a frame are those of a square that is ``d`` smaller on each side, so
+# one number, the ``k`` of the tracked square, stands for all eight.
+TRACKED = """WITH RECURSIVE f AS (
+  SELECT user_id, event_id, event_type <> 'error' AS found, value, event_id % 10 / 200.0::DOUBLE AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+t AS (
+  SELECT user_id, event_id, n, value, CASE WHEN found THEN d END AS k, CASE WHEN found THEN 0 ELSE 1 END AS misses, found AS seen FROM f WHERE n = 1
+  UNION ALL
+  SELECT f.user_id, f.event_id, f.n, f.value,
+         CASE WHEN found AND (k IS NULL OR abs(d - k) * sqrt(2) > 0.18) THEN d WHEN found THEN k * 0.42 + d * 0.58 WHEN misses < 7 THEN k END,
+         CASE WHEN found THEN 0 ELSE misses + 1 END, found OR (misses < 7 AND k IS NOT NULL)
+  FROM t JOIN f ON f.user_id = t.user_id AND f.n = t.n + 1)"""
 _rect = "greatest(0, l - pad) AS {0}_left, greatest(0, t - 5 - pad) AS {0}_top, least({1}, w + pad * 2) AS {0}_width, least({2}, h + pad * 2) AS {0}_height"
 SQL = {
     "display_texts": f"""WITH e AS (SELECT *, {_title} AS title, event_type || user_id AS raw, regexp_replace(event_type || '/a:b*' || event_id, '[\\\\/:*?"<>|\\r\\n]+', '-', 'g') AS dl FROM events),
@@ -267,12 +277,12 @@ c AS (SELECT *, list_transform(range(1, 65), lambda i: p[i] - o[i]) AS d FROM q)
 SELECT label AS session_id, vec_id AS frame_no, CASE WHEN o IS NULL THEN 'Infinity'::DOUBLE ELSE round(list_avg(list_transform(d, lambda x: abs(x - list_avg(d)))), 6) END AS movement FROM c""",
     "sharpest_frames": """SELECT user_id::VARCHAR AS session_id, event_id // 100 AS burst, event_id AS frame_no, floor(value)::BIGINT AS score FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_id // 100 ORDER BY floor(value) DESC, event_id) = 1""",
-    "live_states": """WITH RECURSIVE f AS (SELECT user_id, event_id, event_type <> 'error' AS seen, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    "live_states": f"""{TRACKED},
 s AS (
-  SELECT user_id, event_id, n, seen, (CASE WHEN NOT seen THEN 0 WHEN value <= 9.0 THEN 1 ELSE 0 END)::INT AS stable FROM f WHERE n = 1
+  SELECT user_id, event_id, n, seen, (CASE WHEN seen AND value <= 9.0 THEN 1 ELSE 0 END)::INT AS stable FROM t WHERE n = 1
   UNION ALL
-  SELECT f.user_id, f.event_id, f.n, f.seen, (CASE WHEN NOT f.seen THEN greatest(0, s.stable - 1) WHEN f.value <= 9.0 THEN s.stable + 1 WHEN f.value <= 9.0 * 1.7 THEN greatest(0, s.stable - 1) ELSE 0 END)::INT
-  FROM s JOIN f ON f.user_id = s.user_id AND f.n = s.n + 1)
+  SELECT t.user_id, t.event_id, t.n, t.seen, (CASE WHEN NOT t.seen THEN greatest(0, s.stable - 1) WHEN t.value <= 9.0 THEN s.stable + 1 WHEN t.value <= 9.0 * 1.7 THEN greatest(0, s.stable - 1) ELSE 0 END)::INT
+  FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1)
 SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, stable, CASE WHEN NOT seen THEN 'positioning' WHEN stable >= 4 THEN 'ready' ELSE 'moving' END AS status, seen AND stable >= 5 AS capture FROM s""",
     "stability_counts": """WITH RECURSIVE f AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 s AS (
@@ -286,8 +296,7 @@ SELECT event_id AS frame_no, printf('%.2f,%.2f %.2f,%.2f %.2f,%.2f %.2f,%.2f', (
 f AS (SELECT *, row_number() OVER w AS n, lag(quiet) OVER w AS before, min(us) OVER (PARTITION BY user_id) AS began FROM q WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
 h AS (SELECT *, quiet AND before AND n > 2 AS two, us - began >= 1200000 AS late FROM f)
 SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, CASE WHEN two AND NOT late THEN 'quiet' ELSE 'timeout' END AS why FROM h WHERE two OR late QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) = 1""",
-    "smoothed_corners": """WITH f AS (SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, event_id % 10 / 200.0::DOUBLE AS d, lag(event_id % 10 / 200.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events)
-SELECT session_id, frame_no, round(0.1 + k, 9) AS x, round(0.9 - k, 9) AS y FROM (SELECT *, CASE WHEN o IS NULL OR abs(d - o) * sqrt(2) > 0.18 THEN d ELSE o * 0.42 + d * 0.58 END AS k FROM f)""",
+    "smoothed_corners": f"""{TRACKED} SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, seen, round(0.1 + k, 9) AS x, round(0.9 - k, 9) AS y FROM t""",
     "latest_scan_states": """SELECT user_id % 5 AS folder_id, user_id AS doc_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'done' ELSE 'loading' END AS status, event_id % 10 / 10.0::DOUBLE AS progress,
        (CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 4 END)::INT AS n_detections FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "review_toggles": f"""WITH {FOUND}, k AS (SELECT doc_id, label || '-' || floor("left" + 0.5)::BIGINT || '-' || floor(top + 0.5)::BIGINT || '-' || value AS detection_id, selected FROM found),

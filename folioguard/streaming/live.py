@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.frames import CORNERS, track
+
 QUIET_MS = 600_000
-MISSES = 8
 CORNER = "struct<top_left: struct<x: double, y: double>, top_right: struct<x: double, y: double>, bottom_right: struct<x: double, y: double>, bottom_left: struct<x: double, y: double>>"
 OUT = "session_id string, frame_no long, stable int, status string, capture boolean, progress double, corners array<double>"
 STATE = "last_ts double, last_frame long, stable int, misses int, corners array<double>"
@@ -30,17 +31,8 @@ def next_stable(stable: int, detected: bool, movement: float, threshold: float)
     return 0
 
 
-def smooth(previous: list[float] | None, current: list[float], weight: float = 0.58, jump: float = 0.18) -> list[float]:
-    """Eight numbers, x and y of each corner: a moving average that starts again
-    where the corners jump."""
-    if not previous:
-        return current
-    far = sum(math.hypot(previous[i] - current[i], previous[i + 1] - current[i + 1]) for i in range(0, 8, 2)) / 4
-    return current if far > jump else [p * (1 - weight) + c * weight for p, c in zip(previous, current, strict=True)]
-
-
 def flat(corners: dict | None) -> list[float] | None:
-    return None if corners is None else [corners[n][a] for n in ("top_left", "top_right", "bottom_right", "bottom_left") for a in ("x", "y")]
+    return None if corners is None else [corners[n][a] for n, a in CORNERS]
 
 
 def expire(state: GroupState, last_ms: float) -> None:
@@ -69,14 +61,7 @@ def live_stream(frames: DataFrame, *, late: str = "1 minute", threshold: float =
             if (at, r["frame_no"]) <= (last_ts, last_frame):
                 continue
             last_ts, last_frame = at, int(r["frame_no"])
-            if r["document_detected"]:
-                misses = 0
-                corners = smooth(corners, flat(r["corners"])) if r["corners"] is not None else corners
-            else:
-                misses += 1
-                if misses >= MISSES:
-                    corners = None
-            seen = bool(r["document_detected"]) or (corners is not None and misses < MISSES)
+            misses, corners, seen = track(misses, corners, bool(r["document_detected"]), flat(r["corners"]))
             stable = next_stable(stable, seen, r["movement"], threshold)
             status = "positioning" if not seen else "ready" if stable >= ready else "moving"
             out.append((key[0], last_frame, stable, status, seen and stable >= capture, min(1.0, stable / capture), corners))

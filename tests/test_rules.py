@@ -132,8 +132,9 @@ def test_geometry(spark):
     corners = lambda a, b: F.struct(point(a, a).alias("top_left"), point(b, a).alias("top_right"), point(b, b).alias("bottom_right"), point(a, b).alias("bottom_left"))
     assert one(spark, g.valid_corners(corners(0.1, 0.9))) and not one(spark, g.valid_corners(corners(0.5, 0.52))) and not one(spark, g.valid_corners(corners(-0.1, 0.9)))
     assert one(spark, g.safe_full_frame(corners(0.02, 0.98))) and not one(spark, g.safe_full_frame(corners(0.1, 0.9))) and one(spark, g.plausible_live_paper(corners(0.1, 0.9)))
-    mid = one(spark, frames.smoothed(corners(0.1, 0.9), corners(0.15, 0.85)))
-    assert 0.1 < mid["top_left"]["x"] < 0.15 and one(spark, frames.smoothed(corners(0.1, 0.9), corners(0.4, 0.6)))["top_left"]["x"] == 0.4
+    square = lambda a, b: [a, a, b, a, b, b, a, b]
+    mid = frames.smooth(square(0.1, 0.9), square(0.15, 0.85))
+    assert 0.1 < mid[0] < 0.15 and frames.smooth(square(0.1, 0.9), square(0.4, 0.6))[0] == 0.4
 
 
 def test_boxes_on_no_page_are_reported(spark):

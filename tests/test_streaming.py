@@ -40,6 +40,22 @@ def test_live_states_of_always_seen_documents(spark, few):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, frames.live_states(f).collect()))
 
 
+def test_live_states_and_corners_with_misses_and_jumps(spark, few):
+    """Frames 3 to 13 of every 20 miss the document, and its corners jump at times."""
+    seen = (F.col("frame_no") % 20 < 3) | (F.col("frame_no") % 20 > 13) | (F.col("frame_no") % 3 == 0) & (F.col("frame_no") > 100)
+    moved = F.col("corners")
+    far = F.when(F.col("frame_no") % 7 == 0, 0.4).otherwise(0.0)
+    jumped = F.struct(*[F.struct((moved[n]["x"] + far).alias("x"), moved[n]["y"].alias("y")).alias(n) for n in ("top_left", "top_right", "bottom_right", "bottom_left")])
+    f = few.withColumn("session_id", (F.col("frame_no") % 2).cast("string")).withColumns({"document_detected": seen, "corners": jumped, "movement": (F.col("frame_no") * 7 % 17).cast("double")})
+    got = run(live_stream(streamed(spark, f, "frame_no")), "missed")
+    rows = got.select("session_id", "frame_no", "stable", "status", "capture").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, frames.live_states(f).collect())) and {r["status"] for r in rows} == {"positioning", "moving", "ready"}
+    corners = {r["frame_no"]: r["corners"] for r in got.collect()}
+    batch = {r["frame_no"]: r["tracked"] for r in frames.tracked_corners(f).collect()}
+    assert corners.keys() == batch.keys() and all((corners[i] or None) == batch[i] for i in batch)
+    assert None in batch.values()
+
+
 def test_misses_keep_and_then_drop_corners(spark, few):
     one = few.withColumn("session_id", F.lit("s")).withColumn("movement", F.lit(1.0)).withColumn("document_detected", F.col("frame_no") < 3).where("frame_no < 14")
     rows = {r["frame_no"]: r for r in run(live_stream(streamed(spark, one, "frame_no")), "misses").collect()}
