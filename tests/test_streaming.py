@@ -41,8 +41,8 @@ def test_live_states_of_always_seen_documents(spark, few):
 
 
 def test_live_states_and_corners_with_misses_and_jumps(spark, few):
-    """Frames 3 to 13 of every 20 miss the document, and its corners jump at times."""
-    seen = (F.col("frame_no") % 20 < 3) | (F.col("frame_no") % 20 > 13) | (F.col("frame_no") % 3 == 0) & (F.col("frame_no") > 100)
+    """Frames 9 to 30 of every 40 miss the document, and its corners jump at times."""
+    seen = (F.col("frame_no") % 40 < 9) | (F.col("frame_no") % 40 > 30) | (F.col("frame_no") % 3 == 0) & (F.col("frame_no") > 100)
     moved = F.col("corners")
     far = F.when(F.col("frame_no") % 7 == 0, 0.4).otherwise(0.0)
     jumped = F.struct(*[F.struct((moved[n]["x"] + far).alias("x"), moved[n]["y"].alias("y")).alias(n) for n in ("top_left", "top_right", "bottom_right", "bottom_left")])
