@@ -25,6 +25,10 @@ SHARD_NUMBERS = 1 << 22
 SHARD_ROWS = 4096
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
+#: Vectors with a larger component are kept out of the tree and meet queries in
+#: Python's integers.
+PLAIN = float(1 << 20)
+LARGEST = 1.7976931348623157e308
 
 
 class KdTree:
@@ -61,11 +65,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.n
 
 
 def search_tree(tree: KdTree, queries: np.ndarray, own_rows: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple]:
-    """The up to ``k`` best of the tree for each query, none worse than its floor."""
-    d = queries.shape[1]
-    if d * tree.most * float(np.abs(queries).max(initial=0)) >= EXACT:
-        yield from _exact_integers(tree, queries, own_rows, k)
-        return
+    """The up to ``k`` best of the tree for each query, none worse than its floor.
+    Products have to be exact in doubles."""
     bounds = np.maximum(queries, 0) @ tree.high.T + np.minimum(queries, 0) @ tree.low.T
     for i, q in enumerate(queries):
         kth = -math.inf if np.isnan(floors[i]) else floors[i]
@@ -95,22 +96,49 @@ def search_tree(tree: KdTree, queries: np.ndarray, own_rows: np.ndarray, floors:
             yield i, rows, ids, scores, scores.astype(np.int64)
 
 
-def _exact_integers(tree: KdTree, queries: np.ndarray, own_rows: np.ndarray, k: int) -> Iterator[tuple]:
-    """For components so large that doubles would round: Python's integers, cut
-    to the range of a long at the end."""
-    whole = [[int(x) for x in v] for v in tree.vectors]
-    for i, q in enumerate(queries):
-        q = [int(x) for x in q]
-        scored = [(-sum(a * b for a, b in zip(v, q, strict=True)), int(n), int(r)) for v, n, r in zip(whole, tree.ids, tree.rows, strict=True) if r != own_rows[i]]
-        best = heapq.nsmallest(k, scored)
-        if best:
-            exact = np.array([max(-LONG - 1, min(LONG, -s)) for s, _, _ in best], np.int64)
-            yield i, np.array([r for *_, r in best]), np.array([n for _, n, _ in best]), exact.astype(np.float64), exact
+class Shard:
+    """A tree of the vectors of moderate components, and the few others."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        large = np.abs(vectors).max(axis=1, initial=0) > PLAIN
+        self.tree = KdTree(vectors[~large], ids[~large], rows[~large]) if not large.all() else None
+        self.large = vectors[large], ids[large], rows[large]
+
+    def search(self, queries: np.ndarray, own_rows: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple]:
+        """The up to ``k`` best for each query, as ``search_tree`` gives them."""
+        most = self.tree.most if self.tree else 0.0
+        plain = queries.shape[1] * most * np.abs(queries).max(axis=1, initial=0) < EXACT
+        found: dict[int, list[tuple]] = {i: [] for i in range(len(queries))}
+        if self.tree and plain.any():
+            at = np.flatnonzero(plain)
+            for i, rows, ids, _, exact in search_tree(self.tree, queries[at], own_rows[at], floors[at], k):
+                found[int(at[i])] = list(zip((-exact).tolist(), ids.tolist(), rows.tolist(), strict=True))
+        for i, q in enumerate(queries):
+            if len(self.large[0]):
+                found[i] += _in_integers(*self.large, q, own_rows[i])
+            if self.tree and not plain[i]:
+                found[i] += _in_integers(self.tree.vectors, self.tree.ids, self.tree.rows, q, own_rows[i])
+            if best := heapq.nsmallest(k, found[i]):
+                exact = np.array([-s for s, _, _ in best], np.int64)
+                yield i, np.array([r for *_, r in best]), np.array([n for _, n, _ in best]), exact.astype(np.float64), exact
+
+
+def _in_integers(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, own: int) -> list[tuple]:
+    """(the negated product, id, row) where doubles would round: in Python's
+    integers, products cut to the range of a long."""
+    whole = [int(x) for x in q]
+    scored = []
+    for v, n, r in zip(vectors, ids.tolist(), rows.tolist(), strict=True):
+        if r != own:
+            product = sum(int(a) * b for a, b in zip(v, whole, strict=True))
+            scored.append((max(-LONG, min(LONG + 1, -product)), n, r))
+    return scored
 
 
 def floored(x: Column) -> Column:
-    """The floor as a double; beyond 2**52 every double is whole."""
-    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    """The floor as a double; beyond 2**52 every double is whole, and beyond the
+    largest it is cut to that."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), x)))
 
 
 def exact_top_k(
@@ -128,8 +156,9 @@ def exact_top_k(
 
     Rows with a null key or vector, or with a component that is null or not
     finite, take no part.  Vectors meet those of equal length only.  Repeated
-    rows count each, and a query skips just its own row.  Products beyond the
-    range of a long are cut to it.  Shards hold a bounded number of components,
+    rows count each, and a query skips just its own row.  A scaled component beyond
+    the largest double is cut to it, and a product beyond the range of a long to
+    that; products so cut are equal, and the smaller key comes first.  Shards hold a bounded number of components,
     so their number grows with the table.
     """
     spark = df.sparkSession
@@ -148,10 +177,10 @@ def exact_top_k(
     placed = base.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     queries = placed.where(F.col("id") % every == 0)
 
-    def search(tree: KdTree, vectors: np.ndarray, rows: np.ndarray, floors: np.ndarray) -> Iterator[tuple]:
-        return search_tree(tree, vectors, rows, floors, k)
+    def search(shard: Shard, vectors: np.ndarray, rows: np.ndarray, floors: np.ndarray) -> Iterator[tuple]:
+        return shard.search(vectors, rows, floors, k)
 
-    home = settle(visit(placed, queries.withColumn("floor", F.lit(None).cast("double")), ["dim", "shard"], KdTree, search), "topk-home")
+    home = settle(visit(placed, queries.withColumn("floor", F.lit(None).cast("double")), ["dim", "shard"], Shard, search), "topk-home")
     hits = home
     if shards > 1:
         floors = home.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least")).select(
@@ -159,6 +188,6 @@ def exact_top_k(
         )
         away = queries.join(floors, "row", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("other <> shard")
         away = away.select("row", "id", "v", "dim", F.col("other").alias("shard"), "floor")
-        hits = home.unionByName(visit(placed, away, ["dim", "shard"], KdTree, search))
+        hits = home.unionByName(visit(placed, away, ["dim", "shard"], Shard, search))
     best = ranked(hits, k, [F.col("exact").desc()])
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("exact").alias("score"))
