@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids are fitted on a bounded sample and lists are kept balanced.  Every
-vector goes to the list of its nearest centroid; one near a boundary is copied to
-further lists too.  A query finds centroids by walking a graph of them in memory,
-and visits the lists whose centroid is not much farther than the nearest one.
+Centroids are fitted on a bounded sample.  Each has a price, as one more
+coordinate that vectors and queries have zero in: crowded lists get farther from
+all, which keeps lists balanced, and queries look for vectors where these went.
+Every vector goes to the list of its nearest centroid; one near a boundary is
+copied to further lists too.  A query finds centroids by walking a graph of them in
+memory, and visits the lists whose centroid is not much farther than the nearest.
 """
 
 from __future__ import annotations
@@ -20,17 +22,20 @@ from pyspark.sql import functions as F
 from .common import settle
 from .vectors import finite, matrix, ranked, visit
 
-#: The sample that centroids are fitted on: at most so many rows and numbers.
-SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 1 << 21
-LIST_ROWS, MOST_LISTS = 200, 2048
+#: The sample that centroids and prices are fitted on: at most so many rows and
+#: numbers, and so many rows for each list where the table has them.
+SAMPLE_ROWS, SAMPLE_NUMBERS, SAMPLE_PER_LIST = 1 << 16, 1 << 23, 64
+LIST_ROWS, MOST_LISTS = 200, 8192
+#: Lists of more than so many times the mean of the sample are split.
+CROWDED = 1.6
 #: Members of a list that a task holds at once; longer lists are split in blocks.
 BLOCK_ROWS = 4096
 #: A vector is copied to lists whose centroid is at most so many times as far as
-#: its nearest, at most so many.
-COPY_RATIO, COPIES = 1.15, 4
+#: its nearest; so many lists at most.
+COPY_RATIO, COPIES = 1.04, 2
 #: A query visits lists whose centroid is at most so many times as far as the
-#: nearest, at most so many of them.
-VISIT_RATIO, VISITS = 1.5, 64
+#: nearest; the ratio alone decides how many these are.
+VISIT_RATIO = 1.125
 NEIGHBOURS = 16
 
 
@@ -38,29 +43,61 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None], 0)
 
 
+def lifted(x: np.ndarray) -> np.ndarray:
+    """Vectors with a zero in the coordinate of prices."""
+    return np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+
+
+def _assigned(sample: np.ndarray, c: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, float]:
+    """(list of each row, mean of the squared distances to the nearest centroid)."""
+    own, near = np.empty(len(sample), np.int64), 0.0
+    for a in range(0, len(sample), 4096):
+        d = _squared(sample[a : a + 4096], c)
+        near += d.min(axis=1).sum()
+        own[a : a + 4096] = (d + price).argmin(axis=1)
+    return own, near / len(sample)
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, *, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """k-means in which a crowded list pushes vectors away: squared distances grow
-    with the size that a list had in the round before."""
+    """Centroids of about ``lists`` balanced lists, with the root of their price as
+    last coordinate.  k-means first; then crowded lists get dearer and empty ones
+    cheaper; lists that stay crowded are split."""
     rng = np.random.Generator(np.random.PCG64(seed))
     distinct = np.unique(sample, axis=0)
     lists = min(lists, len(distinct))
     c = distinct[rng.choice(len(distinct), lists, replace=False)].copy()
-    size = np.zeros(lists)
-    for turn in range(rounds):
-        push, own = None, np.empty(len(sample), np.int64)
-        for a in range(0, len(sample), 4096):
-            d = _squared(sample[a : a + 4096], c)
-            push = d.min(axis=1).mean() * 0.2 if push is None else push
-            own[a : a + 4096] = (d + (push * size * lists / len(sample))[None] * (turn < rounds - 2)).argmin(axis=1)
-        size = np.bincount(own, minlength=lists).astype(float)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, sample)
-        full = size > 0
-        c[full] = sums[full] / size[full, None]
-        if (~full).any():  # an empty list starts again from a member of the largest
-            crowd = np.flatnonzero(own == size.argmax())
-            c[~full] = sample[rng.choice(crowd, (~full).sum())]
-    return c
+    price, mean = np.zeros(lists), len(sample) / lists
+    for turn in range(2 * rounds):
+        own, near = _assigned(sample, c, price)
+        size = np.bincount(own, minlength=len(c)).astype(float)
+        if turn < rounds:
+            sums = np.zeros_like(c)
+            np.add.at(sums, own, sample)
+            full = size > 0
+            c[full] = sums[full] / size[full, None]
+            if (~full).any():  # an empty list starts again from a member of the largest
+                c[~full] = sample[rng.choice(np.flatnonzero(own == size.argmax()), (~full).sum())]
+        else:
+            price += near * 0.03 / (1 + (turn - rounds) / 4) * np.clip(size / mean - 1, -1, 2)
+            price -= price.min()
+    for _ in range(8):
+        own, _ = _assigned(sample, c, price)
+        size = np.bincount(own, minlength=len(c))
+        fresh = []
+        for i in np.flatnonzero(size > CROWDED * mean):
+            rows = sample[own == i]
+            ends = np.unique(rows, axis=0)
+            if len(ends) > 1:
+                pair = ends[rng.choice(len(ends), 2, replace=False)].copy()
+                for _ in range(6):
+                    side = _squared(rows, pair).argmin(axis=1)
+                    pair = np.array([rows[side == k].mean(axis=0) if (side == k).any() else pair[k] for k in (0, 1)])
+                c[i] = pair[0]
+                fresh.append((pair[1], price[i]))
+        if not fresh:
+            break
+        c, price = np.concatenate([c, [x for x, _ in fresh]]), np.concatenate([price, [p for _, p in fresh]])
+    return np.concatenate([c, np.sqrt(price)[:, None]], axis=1)
 
 
 class CentroidGraph:
@@ -109,35 +146,25 @@ class CentroidGraph:
 
 
 def lists_of(x: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """The lists of each vector, that of the nearest centroid first.  A further
-    centroid is passed over if it is nearer to a chosen one than to the vector."""
-    d = np.sqrt(_squared(x, c))
-    top = np.argsort(d, axis=1, kind="stable")[:, : 4 * COPIES]
-    out = []
-    for row, near in zip(d, top, strict=True):
-        chosen = [near[0]]
-        for j in near[1:]:
-            if len(chosen) >= COPIES or row[j] > COPY_RATIO * row[near[0]]:
-                break
-            if (((c[chosen] - c[j]) ** 2).sum(axis=1) >= row[j] ** 2 * 0.5).all():
-                chosen.append(j)
-        out.append(np.array(chosen, np.int64))
-    return out
-
-
-def visits_of(graph: CentroidGraph, q: np.ndarray, primary: np.ndarray, k: int) -> np.ndarray:
-    """The lists that a query visits: by distance ratio, and at least as many as
-    hold ``k`` different rows besides the query."""
-    width = min(VISITS, len(graph.c))
+    """The lists of each vector, that of the nearest centroid first; a vector near
+    a boundary has several."""
+    d = np.sqrt(_squared(lifted(x), c))
+    top = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
+    far = np.take_along_axis(d, top, axis=1)
+    return [near[: max(1, int(n))] for near, n in zip(top, (far <= COPY_RATIO * far[:, :1]).sum(axis=1), strict=True)]
+
+
+def visits_of(graph: CentroidGraph, q: np.ndarray, primary: np.ndarray, k: int, width: int = 64) -> np.ndarray:
+    """The lists that a query visits: all that the distance ratio allows, and at
+    least as many as hold ``k`` different rows besides the query.  The graph is
+    walked wider until what it finds goes beyond both."""
     while True:
-        at, d = graph.nearest(q, width)
+        at, d = graph.nearest(np.append(q, 0.0), min(width, len(graph.c)))
         by_ratio = int((d <= VISIT_RATIO * d[0]).sum())
         enough = np.flatnonzero(np.cumsum(primary[at]) > k)
-        if len(enough):
-            return at[: max(by_ratio, int(enough[0]) + 1)]
-        if width >= len(graph.c):
-            return np.arange(len(graph.c))
-        width = min(2 * width, len(graph.c))
+        if len(at) >= len(graph.c) or (len(enough) and by_ratio < len(at)):
+            return at[: max(by_ratio, int(enough[0]) + 1 if len(enough) else len(at))]
+        width *= 2
 
 
 def nearest_neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100) -> DataFrame:
@@ -171,11 +198,12 @@ def nearest_neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "emb
 
 def _of_length(base: DataFrame, n: int, dim: int, k: int, every: int) -> DataFrame:
     spark = base.sparkSession
-    drawn = base.orderBy(F.xxhash64("row"), "row").limit(min(SAMPLE_ROWS, max(SAMPLE_NUMBERS // dim, 64))).select("v").toArrow()
+    wanted = max(1, min(MOST_LISTS, n // LIST_ROWS))
+    most = min(SAMPLE_ROWS, max(SAMPLE_NUMBERS // dim, 64), max(1 << 13, SAMPLE_PER_LIST * wanted))
+    drawn = base.orderBy(F.xxhash64("row"), "row").limit(most).select("v").toArrow()
     sample = matrix(drawn.column("v").combine_chunks())
-    lists = max(1, min(MOST_LISTS, n // LIST_ROWS, len(sample) // 8))
-    centroids = balanced_centroids(sample, lists)
-    shared = spark.sparkContext.broadcast(centroids)  # at most MOST_LISTS rows
+    centroids = balanced_centroids(sample, max(1, min(wanted, len(sample) // 8)))
+    shared = spark.sparkContext.broadcast(centroids)  # about MOST_LISTS rows at most
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
