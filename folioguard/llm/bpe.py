@@ -1,12 +1,15 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Long texts are cut into pieces that tasks encode in parallel.  Cuts at places
-where the tokenizer splits anyway cost nothing.  A stretch that the tokenizer
-does not split is halved until its parts are short; the halves are put together
-again in a tree, by encoding a window around each join anew, and a larger one
-until the window's outer tokens are those of both sides.  A token row is the
-encoding of its text exactly if all its neighbouring pairs are, so agreement at
-both ends proves the whole join.
+Long texts are cut, wherever that may be, into pieces that tasks encode in
+parallel.  The pieces are put together again in a tree, by encoding a window around
+each join anew, and a larger one until the window's outer tokens are those of both
+sides.
+
+A window in running text begins and ends between a character and a white space
+behind it.  The tokenizer splits there whatever else the text says, so what lies
+outside keeps its tokens.  In a stretch that the tokenizer does not split there is
+no such place; but there a token row is the encoding of its text exactly if all its
+neighbouring pairs are, so agreement at both ends proves the whole join.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import functools
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG = 1 << 15
 #: Tokens on each side of a join that are encoded anew at first.
 WINDOW = 8
+#: How a piece goes on with the one before it.
+APART, STRETCH, TEXT = 0, 1, 2
+#: Bytes in which a white space may end.
+WHITE = frozenset(b"".join(chr(i).encode()[-1:] for i in range(0x3001) if chr(i).isspace()))
 
 _SPLIT = regex.compile(PATTERN)
 _EDGE = re.compile(r"\S(?=[ \t\n\r])")
@@ -64,22 +72,32 @@ class Bpe:
         middle = len(stretch) // 2
         return self._halves(stretch[:middle], most) + self._halves(stretch[middle:], most)
 
-    def pieces(self, text: str, most: int = LONG) -> list[tuple[str, bool]]:
+    def pieces(self, text: str, most: int = LONG) -> list[tuple[str, int]]:
         """``text`` cut into pieces of at most ``most`` characters (a special
-        token stays whole), each with whether it goes on with an unsplit stretch
-        that began before it."""
-        out: list[tuple[str, bool]] = []
+        token stays whole), each with how it goes on with the one before it:
+        ``APART``, in one unsplit ``STRETCH``, or in one ``TEXT``."""
+        out: list[tuple[str, int]] = []
         for part in self.marks.split(text) if self.marks else [text]:
             if part in self.special:
-                out.append((part, False))
+                out.append((part, APART))
                 continue
-            at = 0
+            at, first = 0, APART
             while len(part) - at > most:
+                near = _EDGE.search(part, at, at + most), _EDGE.search(part, at + most, at + 2 * most)
+                if near[0] and near[1]:
+                    out.append((part[at : at + most], first))
+                    at, first = at + most, TEXT
+                    continue
+                if first == TEXT:  # what follows is cut in another way behind the next edge
+                    edge = _EDGE.search(part, at).end()
+                    out.append((part[at:edge], TEXT))
+                    at, first = edge, APART
+                    continue
                 edge = 0
                 for m in _EDGE.finditer(part, at, at + most + 1):
                     edge = m.end()
                 if edge > at:
-                    out.append((part[at:edge], False))
+                    out.append((part[at:edge], APART))
                     at = edge
                     continue
                 m = _EDGE.search(part, at)
@@ -88,19 +106,34 @@ class Bpe:
                 for unsplit in _SPLIT.findall(part[at:stop]):
                     alone = len(unsplit) > most or unsplit.isspace()  # how spaces split depends on what follows
                     if pack and (alone or len(pack) + len(unsplit) > most):
-                        out.append((pack, False))
+                        out.append((pack, APART))
                         pack = ""
                     if alone:
-                        out += [(half, i > 0) for i, half in enumerate(self._halves(unsplit, most))]
+                        out += [(half, STRETCH if i else APART) for i, half in enumerate(self._halves(unsplit, most))]
                     else:
                         pack += unsplit
                 if pack:
-                    out.append((pack, False))
+                    out.append((pack, APART))
                 at = stop
             if at < len(part):
-                out.append((part[at:], False))
+                out.append((part[at:], first))
         return out
 
+    def join_text(self, left: np.ndarray, right: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """The encoding of two encoded parts of a text that was cut anywhere."""
+        spaces = b" \t\n\r"
+        while True:
+            a, b = min(window, len(left)), min(window, len(right))
+            while a < len(left) and not (self.tokens[int(left[-a])][0] in spaces and self.tokens[int(left[-a - 1])][-1] not in WHITE):
+                a += 1
+            while b < len(right) and not (self.tokens[int(right[b])][0] in spaces and self.tokens[int(right[b - 1])][-1] not in WHITE):
+                b += 1
+            inner = [*left[len(left) - a :].tolist(), *right[:b].tolist()]
+            fresh = self.encode(b"".join(self.tokens[i] for i in inner).decode("utf-8"))
+            if (a == len(left) or fresh[0] == inner[0]) and (b == len(right) or fresh[-1] == inner[-1]):
+                return np.concatenate([left[: len(left) - a], fresh, right[b:]])
+            window *= 2
+
     def join(self, left: np.ndarray, right: np.ndarray, window: int = WINDOW) -> np.ndarray:
         """The encoding of two encoded parts of one unsplit stretch."""
         if not len(left) or not len(right):
@@ -117,22 +150,23 @@ class Bpe:
                 return np.concatenate([left[: len(left) - a], fresh, right[b:]])
             window *= 2
 
-    def tree(self, parts: list[np.ndarray]) -> np.ndarray:
-        """Join the parts of one unsplit stretch, neighbours first."""
+    def tree(self, parts: list[np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Join the parts of one stretch or text, neighbours first."""
         while len(parts) > 1:
-            parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def assemble(self, parts: list[np.ndarray], goes_on: list[bool]) -> np.ndarray:
+    def assemble(self, parts: list[np.ndarray], goes_on: list[int]) -> np.ndarray:
         """The encoding of a text from those of its pieces, in order."""
-        whole, stretch = [], []
+        whole, run, how = [], [], APART
         for ids, more in zip(parts, goes_on, strict=True):
-            if stretch and not more:
-                whole.append(self.tree(stretch))
-                stretch = []
-            stretch.append(ids)
-        if stretch:
-            whole.append(self.tree(stretch))
+            if run and more == APART:
+                whole.append(self.tree(run, self.join_text if how == TEXT else self.join))
+                run, how = [], APART
+            run.append(ids)
+            how = max(how, more)
+        if run:
+            whole.append(self.tree(run, self.join_text if how == TEXT else self.join))
         return np.concatenate(whole) if whole else np.empty(0, np.int32)
 
 
@@ -229,11 +263,11 @@ def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", ch
     else:
         short = short.withColumn(ids, encode_column(body, path))
 
-    @F.arrow_udf("array<struct<piece: string, more: boolean>>")
+    @F.arrow_udf("array<struct<piece: string, more: int>>")
     def cut(texts: pa.Array) -> pa.Array:
         bpe = load(path)
         rows = [[{"piece": p, "more": m} for p, m in bpe.pieces(t.as_py(), long)] for t in texts]
-        return pa.array(rows, pa.list_(pa.struct([("piece", pa.string()), ("more", pa.bool_())])))
+        return pa.array(rows, pa.list_(pa.struct([("piece", pa.string()), ("more", pa.int32())])))
 
     @F.arrow_udf("struct<ids: array<int>, back: boolean>")
     def put_together(parts: pa.Array) -> pa.Array:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioguard.llm.bpe import decode_column, encode, load
+from folioguard.llm.bpe import TEXT, decode_column, encode, load
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "\n\n \n", "a", "Don't we'll 'sss !'s '''ve", "<|endoftext|>", "x <|endoftext|>  y<|endoftext|>", "\u0085  x ​᠎\x1c\x1d\x1fz",
@@ -75,3 +75,13 @@ def test_checked_ids(spark, library):
 
 def test_empty_table(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_ordinary_long_texts_are_halved_anywhere_and_joined(library):
+    """Prose over the limit is cut within words, and the joins mend that."""
+    rng, bpe = random.Random(4), load(PATH)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) + rng.choice(["", "", ",", ".\n"]) for _ in range(9000))
+    pieces = bpe.pieces(text, 4000)
+    assert sum(m == TEXT for _, m in pieces) >= 8 and any(p[-1:].isalpha() and q[:1].isalpha() for (p, _), (q, _) in zip(pieces, pieces[1:], strict=False))
+    ids = bpe.assemble([bpe.encode(p) for p, _ in pieces], [m for _, m in pieces])
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
