@@ -78,10 +78,10 @@ _GENERATORS = (
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("mac", re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b")),
     ("number", re.compile(r"[+(]?[0-9][0-9 ().\-/]{6,28}[0-9]")),
-    ("secret", re.compile(r"[A-Za-z0-9_/+=\-]{16,512}")),
+    ("secret", re.compile(r"[A-Za-z0-9_/+=\-]{16,}")),
     ("ssn", re.compile(r"\b[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}\b")),
 )
-_MAIL_WORDS = re.compile(r"[A-Za-z0-9._-]{1,64} ?[(\[{]at[)\]}] ?[A-Za-z0-9-]{1,64}(?: ?[(\[{]dot[)\]}] ?|\.)[A-Za-z]{2,24}", re.I)
+_MAIL_WORDS = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[(\[{]at[)\]}] ?[A-Za-z0-9-]++(?: ?[(\[{]dot[)\]}] ?|\.)[A-Za-z]{2,24}", re.I)
 
 #: Words before a span that speak for personal data, or against.
 CUES_FOR = ("account", "acct", "api", "apikey", "auth", "bank", "bearer", "call", "card", "cell", "fax", "iban", "id", "key", "konto", "mac", "mail",
