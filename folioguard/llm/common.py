@@ -23,8 +23,12 @@ def _own_dir() -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder that the cluster names in
-    ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    ``spark.checkpoint.dir``.  Where that is unset, a temporary one if Spark runs
+    in this process alone; on a cluster, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    base = base or _own_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
