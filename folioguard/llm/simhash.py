@@ -102,7 +102,8 @@ def _matched(prints: DataFrame, table: list[tuple], max_bits: int) -> DataFrame:
         at = F.col("kind") + 1
         holds &= (F.element_at(bits, at).bitwiseAND(x) != 0) | F.element_at(equal, at)
     left, right = keys.withColumnRenamed("fp", "a"), keys.withColumnRenamed("fp", "b")
-    return left.join(right, ["kind", "key"]).where(holds).select("a", "b")
+    # Spark takes the many keys of a small table for small: they are never broadcast.
+    return left.join(right.hint("merge"), ["kind", "key"]).where(holds).select("a", "b")
 
 
 def signature_links(prints: DataFrame, *, max_bits: int = 2, crowded: int = CROWDED) -> DataFrame:
