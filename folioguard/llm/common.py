@@ -43,6 +43,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows that go to Python at once, from now on: texts are long, and a task holds
+    a batch on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names clash with ``names`` (any case)."""
     taken = {n.lower() for n in names}

@@ -27,7 +27,7 @@ SCALE = 1000.0
 #: Bounds of the labelled sample that the model is fitted on: rows with label 1,
 #: rows with label 0, and characters of a sampled text.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 3000, 20_000
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 16
 
 _SEPARATES = np.zeros(128, bool)
 _SEPARATES[:33] = True
