@@ -134,6 +134,13 @@ def corrected_slots(spark: SparkSession, sf: str) -> DataFrame:
     return folder.assign_slots(docs, turns.select("folder_id", "id", "s.turn", "s.wanted"))
 
 
+def appended_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth document is a file that was accepted, and has no slot yet."""
+    docs = fx.folder_documents(spark, sf).select("folder_id", "id", "slot")
+    files = docs.where("id % 5 = 0").select("id", "folder_id", F.lit("accepted").alias("outcome"))
+    return folder.append_documents(docs.where("id % 5 > 0").withColumn("outcome", F.lit(None).cast("string")), files)
+
+
 def latest_drafts(spark: SparkSession, sf: str) -> DataFrame:
     return drafts.latest_drafts(fx.draft_versions(spark, sf))
 
@@ -153,7 +160,7 @@ QUERIES = {
     "assignment_review": assignment_review, "folder_completeness": folder_completeness, "slot_coverage": slot_coverage, "folder_order": folder_order, "page_plan": page_plan,
     "contents_rows": contents_rows, "page_tops": page_tops, "composite_sizes": composite_sizes, "appended_pages": appended_pages, "pending_documents": pending_documents,
     "batch_progress": batch_progress, "export_readiness": export_readiness, "export_gate": export_gate, "scan_report": scan_report, "admitted_files": admitted_files,
-    "auto_assigned": auto_assigned, "corrected_slots": corrected_slots, "latest_drafts": latest_drafts, "newest_drafts": newest_drafts, "draft_summaries": draft_summaries,
+    "auto_assigned": auto_assigned, "corrected_slots": corrected_slots, "appended_documents": appended_documents, "latest_drafts": latest_drafts, "newest_drafts": newest_drafts, "draft_summaries": draft_summaries,
 }
 
 # --- SQL -----------------------------------------------------------------------
@@ -181,7 +188,30 @@ FOLDERS = "folders AS (SELECT DISTINCT source AS folder_id, length(source) % 2 =
 VERSIONS = """versions AS (SELECT user_id::VARCHAR AS id, event_type AS title, props->>'$.k' AS address, ts AS updated_at, event_id AS seq, event_type = 'error' AS deleted FROM events),
 latest AS (SELECT * EXCLUDE (deleted) FROM (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, seq DESC) = 1) WHERE NOT deleted)"""
 
+#: Slots after the turns of ``t`` (``folder_id``, ``n`` from 1, ``id``, ``slot``,
+#: ``wanted``) over the documents of ``e``: a step for each turn of a folder.
+ASSIGNED = f"""s AS (
+  SELECT folder_id, 0::BIGINT AS n, list_transform({SLOT_LIST}, lambda x: len(list_filter(slots, lambda y: y = x))) AS held, []::STRUCT(id BIGINT, slot VARCHAR)[] AS moved
+  FROM (SELECT folder_id, list(slot) AS slots FROM e GROUP BY folder_id)
+  UNION ALL
+  SELECT folder_id, n, CASE WHEN go THEN list_transform(held, lambda c, i: c + CASE WHEN {SLOT_LIST}[i] = wanted THEN 1 WHEN {SLOT_LIST}[i] = now THEN -1 ELSE 0 END) ELSE held END,
+         CASE WHEN go THEN list_append(moved, {{'id': id, 'slot': wanted}}) ELSE moved END
+  FROM (SELECT *, wanted IS DISTINCT FROM now AND (wanted = {quoted(MULTI[0])} OR held[list_position({SLOT_LIST}, wanted)] = 0) AS go
+        FROM (SELECT t.*, s.held, s.moved, coalesce(list_filter(s.moved, lambda m: m.id = t.id)[-1].slot, t.slot) AS now FROM s JOIN t ON t.folder_id = s.folder_id AND t.n = s.n + 1))),
+l AS (SELECT folder_id, unnest(moved) AS m, generate_subscripts(moved, 1) AS k FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY folder_id ORDER BY n DESC) = 1)),
+a AS (SELECT folder_id, m.id AS id, arg_max(m.slot, k) AS moved FROM l GROUP BY ALL)
+SELECT folder_id, id, coalesce(moved, slot) AS slot FROM e LEFT JOIN a USING (folder_id, id)"""
+
 SQL = {
+    "auto_assigned": f"""WITH RECURSIVE {DOCS}, {TYPED}, e AS (SELECT folder_id, id, CASE WHEN id % 3 = 0 THEN slot END AS slot FROM docs),
+w AS (SELECT folder_id, id, slot, CASE WHEN confidence >= 65 THEN {TYPE_SLOT.format('typed.type')} END AS wanted FROM e JOIN typed USING (id)),
+t AS MATERIALIZED (SELECT folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY id) AS n, id, slot, wanted FROM w WHERE wanted IS NOT NULL),
+{ASSIGNED}""",
+    "corrected_slots": f"""WITH RECURSIVE {DOCS}, e AS (SELECT folder_id, id, CASE WHEN id % 6 = 0 OR id % 4 = 1 THEN slot END AS slot FROM docs),
+w AS (SELECT folder_id, id, slot, unnest([0, 1]) AS again FROM e WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0)),
+t AS MATERIALIZED (SELECT folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY id + again * 100000000, id) AS n, id, slot, {SLOT_AT.format('(id + 2 * again) % 5')} AS wanted FROM w),
+{ASSIGNED}""",
+    "appended_documents": f"""WITH {DOCS} SELECT folder_id, id, CASE WHEN id % 5 > 0 THEN slot END AS slot, CASE WHEN id % 5 = 0 THEN 'accepted' END AS outcome FROM docs""",
     "assignment_review": f"""WITH {DOCS}, {TYPED}, j AS (SELECT folder_id, id, slot, typed.type, confidence, {TYPE_SLOT.format('typed.type')} AS detected FROM docs JOIN typed USING (id))
 SELECT folder_id, id, CASE WHEN slot IS NULL OR confidence < 65 OR detected IS NULL THEN 'uncertain' WHEN detected <> slot THEN 'mismatch' ELSE 'match' END AS status,
        CASE WHEN slot IS NOT NULL AND confidence >= 65 THEN detected END AS detected_slot,

@@ -161,7 +161,7 @@ def review_clicks(spark: SparkSession, sf: str) -> DataFrame:
     first = found.select("doc_id", F.lit(-1).cast("long").alias("seq"), F.array("detection_id").alias("ids"), F.col("selected").alias("start"))
     every = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("detection_id")).alias("all"))
     last = fx.table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("ids"))
-    e = fx.table(spark, sf, "events").crossJoin(F.broadcast(last)).select(F.pmod(F.xxhash64("user_id", "event_id"), "ids").alias("doc_id"), F.col("event_id").alias("seq")).join(every, "doc_id")
+    e = fx.table(spark, sf, "events").crossJoin(F.broadcast(last)).select(((F.col("user_id") * 31 + F.col("event_id")) % F.col("ids")).alias("doc_id"), F.col("event_id").alias("seq")).join(every, "doc_id")
     clicks = e.select("doc_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("all")).otherwise(F.slice("all", 1, 1)).alias("ids"), F.lit(None).cast("boolean").alias("start"))
     return edits.review_clicks(first.unionByName(clicks)).withColumn("selected", F.array_join("selected", ","))
 
@@ -225,7 +225,34 @@ t AS (
          CASE WHEN found THEN 0 ELSE misses + 1 END, found OR (misses < 7 AND k IS NOT NULL)
   FROM t JOIN f ON f.user_id = t.user_id AND f.n = t.n + 1)"""
 _rect = "greatest(0, l - pad) AS {0}_left, greatest(0, t - 5 - pad) AS {0}_top, least({1}, w + pad * 2) AS {0}_width, least({2}, h + pad * 2) AS {0}_height"
+DETECTION_ID = """label || '-' || floor("left" + 0.5)::BIGINT || '-' || floor(top + 0.5)::BIGINT || '-' || value"""
 SQL = {
+    "page_edits": """WITH RECURSIVE e AS MATERIALIZED (
+  SELECT user_id || '-' || strftime(ts, '%m%d') AS session_id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%m%d') ORDER BY event_id) AS n, ['add', 'add', 'move', 'add', 'remove', 'undo', 'replace'][event_id % 7 + 1] AS op,
+         'p' || event_id % 5 AS page, event_id % 4 AS i, event_id % 4 + CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS j, 'r' || event_id AS payload, event_id * 700 AS ms FROM events),
+s AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS n, []::VARCHAR[] AS pages, NULL::STRUCT(page VARCHAR, place BIGINT, ms BIGINT) AS gone FROM e
+  UNION ALL
+  SELECT session_id, n,
+         CASE WHEN op = 'add' THEN list_append(pages, page)
+              WHEN op = 'move' AND i < len(pages) AND j BETWEEN 0 AND len(pages) - 1 THEN list_transform(pages, lambda p, k: CASE k - 1 WHEN i THEN pages[j + 1] WHEN j THEN pages[i + 1] ELSE p END)
+              WHEN op = 'remove' THEN list_filter(pages, lambda p: p <> page)
+              WHEN op = 'replace' THEN list_transform(pages, lambda p: CASE WHEN p = page THEN payload ELSE p END)
+              WHEN op = 'undo' AND ms - gone.ms <= 5000 AND NOT list_contains(pages, gone.page) THEN list_concat(list_concat(pages[1:gone.place], [gone.page]), pages[gone.place + 1:])
+              ELSE pages END,
+         CASE WHEN op = 'remove' AND list_contains(pages, page) THEN {'page': page, 'place': list_position(pages, page)::BIGINT - 1, 'ms': ms} WHEN op = 'undo' THEN NULL ELSE gone END
+  FROM (SELECT e.*, s.pages, s.gone FROM s JOIN e ON e.session_id = s.session_id AND e.n = s.n + 1))
+SELECT session_id, array_to_string(pages, ',') AS pages FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1""",
+    "review_clicks": f"""WITH RECURSIVE {FOUND}, k AS (SELECT doc_id, {DETECTION_ID} AS detection_id, selected FROM found),
+d AS MATERIALIZED (SELECT doc_id, list(detection_id ORDER BY detection_id) AS ids, list(selected ORDER BY detection_id) AS chosen FROM k GROUP BY doc_id),
+e AS (SELECT (user_id * 31 + event_id) % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, event_id FROM events),
+c AS MATERIALIZED (SELECT doc_id, event_id % 3 = 0 AS every, row_number() OVER (PARTITION BY doc_id ORDER BY event_id) AS n FROM e),
+s AS (
+  SELECT doc_id, 0::BIGINT AS n, ids, chosen FROM d
+  UNION ALL
+  SELECT s.doc_id, c.n, s.ids, list_transform(s.chosen, lambda x, i: CASE WHEN c.every THEN list_contains(s.chosen, false) WHEN i = 1 THEN NOT x ELSE x END)
+  FROM s JOIN c ON c.doc_id = s.doc_id AND c.n = s.n + 1)
+SELECT doc_id, array_to_string(list_filter(ids, lambda x, i: chosen[i]), ',') AS selected FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1""",
     "display_texts": f"""WITH e AS (SELECT *, {_title} AS title, event_type || user_id AS raw, regexp_replace(event_type || '/a:b*' || event_id, '[\\\\/:*?"<>|\\r\\n]+', '-', 'g') AS dl FROM events),
 f AS (SELECT *, regexp_replace(regexp_replace(strip_accents(coalesce(replace(title, 'ß', chr(1)), '')), '[^a-zA-Z0-9\x01_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS fn FROM e)
 SELECT event_id, {BULLETS.format('raw')} AS masked, 'Mappe-' || CASE WHEN fn = '' THEN 'Wohnungsbewerbung' ELSE substr(replace(fn, chr(1), 'ß'), 1, 60) END || '.pdf' AS folder_name,
@@ -299,7 +326,7 @@ SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, CASE WHEN two AND N
     "smoothed_corners": f"""{TRACKED} SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, seen, round(0.1 + k, 9) AS x, round(0.9 - k, 9) AS y FROM t""",
     "latest_scan_states": """SELECT user_id % 5 AS folder_id, user_id AS doc_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'done' ELSE 'loading' END AS status, event_id % 10 / 10.0::DOUBLE AS progress,
        (CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 4 END)::INT AS n_detections FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
-    "review_toggles": f"""WITH {FOUND}, k AS (SELECT doc_id, label || '-' || floor("left" + 0.5)::BIGINT || '-' || floor(top + 0.5)::BIGINT || '-' || value AS detection_id, selected FROM found),
+    "review_toggles": f"""WITH {FOUND}, k AS (SELECT doc_id, {DETECTION_ID} AS detection_id, selected FROM found),
 c AS (SELECT user_id AS doc_id, count(*) AS n FROM events GROUP BY ALL), j AS (SELECT *, min(detection_id) OVER (PARTITION BY doc_id) AS first FROM k LEFT JOIN c USING (doc_id))
 SELECT doc_id, detection_id, CASE WHEN detection_id = first AND n % 2 = 1 THEN NOT selected ELSE selected END AS selected, n IS NOT NULL AS changed FROM j""",
     "autosaves": """WITH e AS (SELECT user_id::VARCHAR AS id, ts, event_id, event_type, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOURS, true) AS fresh FROM events),
