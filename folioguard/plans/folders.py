@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import classify, detect, drafts, folder
 from ..rules import MULTI, SLOTS, TYPE_TO_SLOT
+from ..sources import store
+from ..sources.scratch import scratch_dir
 from . import fixtures as fx
 from .words import FOUND, quoted
 from .words import SQL as WORD_SQL
@@ -145,6 +147,15 @@ def latest_drafts(spark: SparkSession, sf: str) -> DataFrame:
     return drafts.latest_drafts(fx.draft_versions(spark, sf))
 
 
+def stored_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """All versions are put into a store; then the drafts of every tenth user are
+    deleted, by their ids."""
+    versions, path = fx.draft_versions(spark, sf), scratch_dir(spark, "drafts")
+    store.put_drafts(versions, path)
+    store.delete_drafts(versions.where("cast(id as long) % 10 = 0").select("id"), path)
+    return drafts.latest_drafts(store.read_versions(spark, path))
+
+
 def newest_drafts(spark: SparkSession, sf: str) -> DataFrame:
     return drafts.newest_drafts(fx.draft_versions(spark, sf), 20).select("id", "title", "updated_at")
 
@@ -160,7 +171,7 @@ QUERIES = {
     "assignment_review": assignment_review, "folder_completeness": folder_completeness, "slot_coverage": slot_coverage, "folder_order": folder_order, "page_plan": page_plan,
     "contents_rows": contents_rows, "page_tops": page_tops, "composite_sizes": composite_sizes, "appended_pages": appended_pages, "pending_documents": pending_documents,
     "batch_progress": batch_progress, "export_readiness": export_readiness, "export_gate": export_gate, "scan_report": scan_report, "admitted_files": admitted_files,
-    "auto_assigned": auto_assigned, "corrected_slots": corrected_slots, "appended_documents": appended_documents, "latest_drafts": latest_drafts, "newest_drafts": newest_drafts, "draft_summaries": draft_summaries,
+    "auto_assigned": auto_assigned, "corrected_slots": corrected_slots, "appended_documents": appended_documents, "latest_drafts": latest_drafts, "stored_drafts": stored_drafts, "newest_drafts": newest_drafts, "draft_summaries": draft_summaries,
 }
 
 # --- SQL -----------------------------------------------------------------------
@@ -261,6 +272,7 @@ o AS (SELECT *, count(*) OVER (PARTITION BY folder_id, slot) AS n, row_number()
 SELECT folder_id, idx, CASE WHEN slot <> {quoted(MULTI[0])} AND (folder_id, slot) IN (SELECT (folder_id, slot) FROM there) THEN 'slot occupied' WHEN slot <> {quoted(MULTI[0])} AND n > 1 THEN 'bundled'
        WHEN (folder_id, name, size, type) IN (SELECT (folder_id, name, size, type) FROM there) THEN 'duplicate' WHEN nth > 1 THEN 'repeated' ELSE 'accepted' END AS outcome FROM o""",
     "latest_drafts": f"WITH {VERSIONS} SELECT * FROM latest",
+    "stored_drafts": f"WITH {VERSIONS} SELECT * FROM latest WHERE id::BIGINT % 10 <> 0",
     "newest_drafts": f"WITH {VERSIONS} SELECT id, title, updated_at FROM latest ORDER BY updated_at DESC, seq DESC LIMIT 20",
     "draft_summaries": f"""WITH {VERSIONS}, f AS (SELECT *, list_transform(range(0, seq % 7 + 1), lambda i: {SLOT_AT.format('seq + i * i')}) AS slots FROM latest),
 d AS (SELECT *, list_distinct(list_filter(slots, lambda s: s IS NOT NULL)) AS present FROM f)

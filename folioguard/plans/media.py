@@ -100,6 +100,15 @@ def frame_sharpness(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("image_id", F.round(pixels.sharpness_column(F.col("raw"), F.col("width"), F.col("height"), 1), 3).alias("score"))
 
 
+def burned_rasters(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rectangles go black in each raster, the second partly outside."""
+    n = F.col("image_id")
+    box = lambda left, top, width, height: F.struct(left.cast("double").alias("left"), top.cast("double").alias("top"), F.lit(width).alias("width"), F.lit(height).alias("height"))
+    rects = F.array(box(n % 5 * 1.5, n % 3 * 2.0, 3.25, 2.75), box(F.lit(6.25), n % 7 - 1.0, 9.0, 1.5))
+    r = raster_bytes(spark, sf)
+    return r.select("image_id", F.hex(pixels.burn_column(F.col("raw"), F.col("width"), F.col("height"), rects, 1)).alias("burned"))
+
+
 def frame_movement(spark: SparkSession, sf: str) -> DataFrame:
     r = raster_bytes(spark, sf).select(F.col("burst").alias("session_id"), F.col("image_id").alias("frame_no"), F.col("image_id").alias("ts"), "raw", "width", "height")
     pairs = frames.frame_pairs(r, ("raw",))
@@ -179,7 +188,7 @@ QUERIES = {
     "stability_counts": stability_counts, "paper_polygons": paper_polygons,
     "page_edits": page_edits, "review_clicks": review_clicks,
     "display_texts": display_texts, "profiles": profiles, "box_geometry": box_geometry, "camera_geometry": camera_geometry, "corner_checks": corner_checks, "scan_quality": scan_quality,
-    "frame_sharpness": frame_sharpness, "frame_movement": frame_movement, "sharpest_frames": sharpest_frames, "live_states": live_states, "settled_frames": settled_frames,
+    "frame_sharpness": frame_sharpness, "burned_rasters": burned_rasters, "frame_movement": frame_movement, "sharpest_frames": sharpest_frames, "live_states": live_states, "settled_frames": settled_frames,
     "smoothed_corners": smoothed_corners, "latest_scan_states": latest_scan_states, "review_toggles": review_toggles, "autosaves": autosaves,
 }
 
@@ -299,6 +308,10 @@ SELECT image_id, round(mean, 6) AS mean, round(deviation, 4) AS deviation, round
                WHEN 4 THEN CASE s4 WHEN 'poor' THEN 'Text hebt sich kaum ab' ELSE 'Kontrast bitte prüfen' END ELSE CASE s5 WHEN 'poor' THEN 'Zu wenig Bilddetails' ELSE 'Für kleine Schrift knapp' END END AS hint,
        array_to_string(st, ',') AS statuses FROM k""",
     "frame_sharpness": f"WITH {LAPLACE} SELECT vec_id AS image_id, round(list_avg(r[1:4]), 3) AS score FROM lap",
+    "burned_rasters": f"""WITH px AS (SELECT vec_id, vec_id % 5 * 1.5 AS l, vec_id % 3 * 2.0 AS t, vec_id % 7 - 1.0 AS u, {_grey} AS p FROM embeddings)
+SELECT vec_id AS image_id, array_to_string(list_transform(p, lambda v, i: CASE
+  WHEN (i - 1) % 8 + 0.5 >= l AND (i - 1) % 8 + 0.5 < l + 3.25 AND (i - 1) // 8 + 0.5 >= t AND (i - 1) // 8 + 0.5 < t + 2.75 THEN '00'
+  WHEN (i - 1) % 8 + 0.5 >= 6.25 AND (i - 1) // 8 + 0.5 >= u AND (i - 1) // 8 + 0.5 < u + 1.5 THEN '00' ELSE printf('%02X', v::BIGINT) END), '') AS burned FROM px""",
     "frame_movement": f"""WITH px AS (SELECT vec_id, label, {_grey} AS p FROM embeddings), q AS (SELECT *, lag(p) OVER (PARTITION BY label ORDER BY vec_id) AS o FROM px),
 c AS (SELECT *, list_transform(range(1, 65), lambda i: p[i] - o[i]) AS d FROM q)
 SELECT label AS session_id, vec_id AS frame_no, CASE WHEN o IS NULL THEN 'Infinity'::DOUBLE ELSE round(list_avg(list_transform(d, lambda x: abs(x - list_avg(d)))), 6) END AS movement FROM c""",
