@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.text import half_up, page_label
 from ..rules import MULTI, OTHER, SLOTS, SURE, TYPE_TO_SLOT
 
+#: Folders are cut at multiples of two to this power of their order.
+RANGE_BITS = 16
+
 
 def slot_order(slot: Column, slots=SLOTS) -> Column:
     """The slot's place, unassigned last."""
@@ -99,22 +102,40 @@ def confirmed(slot: Column, status: Column, kind: Column, confidence: Column, le
     return F.coalesce((status == "done") & (confidence >= least) & (slot_of_type(kind) == slot), F.lit(False))
 
 
+def _sums_before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` (``folder_id``, ``ord``, ``id``) with ``name``: the sum of
+    ``value`` over earlier rows of the folder.
+
+    Folders are cut at ranges of ``ord``: only the sums of ranges are added up
+    over a folder.  Null ``ord`` come first.
+    """
+    ranges = F.coalesce(F.shiftright(F.col("ord").cast("long"), RANGE_BITS), F.lit(-(1 << 63)))
+    cut = rows.withColumn("__range", ranges).withColumn("__value", value.cast("long"))
+    inside = F.sum("__value").over(W.partitionBy("folder_id", "__range").orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1))
+    sums = cut.groupBy(F.col("folder_id").alias("__f"), F.col("__range").alias("__r")).agg(F.sum("__value").alias("__sum"))
+    below = F.sum("__sum").over(W.partitionBy("__f").orderBy("__r").rowsBetween(W.unboundedPreceding, -1))
+    starts = sums.select("__f", "__r", F.coalesce(below, F.lit(0)).alias("__below"))
+    placed = cut.withColumn("__inside", F.coalesce(inside, F.lit(0)))
+    joined = placed.join(starts, F.col("folder_id").eqNullSafe(F.col("__f")) & (F.col("__range") == F.col("__r")))
+    return joined.withColumn(name, F.col("__below") + F.col("__inside")).drop("__range", "__value", "__f", "__r", "__below", "__inside")
+
+
 def page_plan(items: DataFrame) -> DataFrame:
     """``items`` (``folder_id``, ``id``, ``ord``, ``page_count``,
     ``include_cover``) with whole page counts of at least 1, ``start_page``,
     ``end_page`` and ``page_label``; a cover is page 1."""
     count = F.greatest(F.lit(1), F.coalesce(F.floor(F.col("page_count")), F.lit(1))).cast("long")
-    before = F.sum("page_count").over(W.partitionBy("folder_id").orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0)) + F.when(F.col("include_cover"), 2).otherwise(1)
-    planned = items.withColumn("page_count", count).withColumn("start_page", start).withColumn("end_page", F.col("start_page") + F.col("page_count") - 1)
+    counted = _sums_before(items.withColumn("page_count", count), F.col("page_count"), "__before")
+    start = F.col("__before") + F.when(F.col("include_cover"), 2).otherwise(1)
+    planned = counted.withColumn("start_page", start).withColumn("end_page", F.col("start_page") + F.col("page_count") - 1).drop("__before")
     return planned.withColumn("page_label", page_label(F.col("start_page"), F.col("end_page")))
 
 
 def contents_rows(plan: DataFrame, documents: DataFrame) -> DataFrame:
     """Rows of the table of contents: number, slot, name and pages."""
     docs = documents.select("folder_id", "id", "slot")
-    number = F.row_number().over(W.partitionBy("folder_id").orderBy("ord", "id"))
-    return plan.join(docs, ["folder_id", "id"], "left").withColumn("number", number).select("folder_id", "id", "number", "slot", "name", "page_label")
+    listed = _sums_before(plan.join(docs, ["folder_id", "id"], "left"), F.lit(1), "number").withColumn("number", F.col("number") + 1)
+    return listed.select("folder_id", "id", "number", "slot", "name", "page_label")
 
 
 def page_tops(pages: DataFrame) -> DataFrame:
