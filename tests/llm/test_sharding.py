@@ -1,11 +1,15 @@
 """Rendezvous sharding and gapless slots."""
 
+import math
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from folioguard.llm.sharding import number_slots, shard_records
+from folioguard.llm import queries
+from folioguard.llm.sharding import SEED, number_slots, shard_records
 
 
 def test_growth_moves_rows_only_into_the_new_shard(spark):
@@ -38,3 +42,35 @@ def test_nulls_repeats_and_clashing_names(spark):
     again = number_slots(shard_records(df.repartition(7), "doc_id", [1.0] * 3), "doc_id", buckets=4).collect()
     assert Counter(out) == Counter(again)
     assert number_slots(shard_records(df.limit(0), "doc_id", [1.0]), "doc_id").collect() == []
+
+
+def drawn(key, shards):
+    """The shard with the smallest draw, by the xxhash library."""
+
+    def bits(j):
+        h = xxhash.xxh64_intdigest("\x00null" if key is None else str(key), 42)
+        for part in (SEED, j):
+            h = xxhash.xxh64_intdigest(part.to_bytes(4, "little"), h)
+        return h >> 11
+
+    return min(range(shards), key=lambda j: (-math.log((bits(j) + 0.5) * 2.0**-53), j))
+
+
+def test_query_against_brute_force(spark):
+    got = queries.op7_rendezvous_shards(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = Counter()
+    for doc in docs:
+        raw = (doc["text"] or "").encode()
+        want[doc["doc_id"], len(raw) + 1, zlib.crc32(raw), "key", drawn(doc["doc_id"], 16), drawn(doc["doc_id"], 17)] += 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in got) == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_null_key_against_brute_force(spark):
+    df = spark.createDataFrame([(None,), (-3,), (2**40,)], "k long")
+    got = {r["k"]: (r["shard"], r["grown_shard"]) for r in shard_records(df, "k", [1.0] * 16, grown=[1.0] * 17).collect()}
+    assert got == {k: (drawn(k, 16), drawn(k, 17)) for k in (None, -3, 2**40)}

@@ -1,5 +1,7 @@
 """Toxicity: held-out accuracy on the given tables, misspellings, odd inputs."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +60,36 @@ def test_without_labels_or_one_class(spark):
     assert toxicity.fit(docs, none).score("a") < 0.5
     assert toxicity.fit(docs, one).score("a") < 0.5
     assert toxicity.train([], np.array([])).score("") < 0.5
+
+
+def plain_score(text, model):
+    """The mean over words of the mean of their rows, n-gram by n-gram."""
+    gaps = set(map(chr, range(33))) | set("\"#%&()+,-./:;<=>?[\\]^_`{|}~!")
+    factors = [int(f) for f in toxicity._FACTORS]
+
+    def weight(codes, first, order):
+        h = sum(c * factors[first(j)] for j, c in enumerate(codes)) + order
+        h = h * int(toxicity._MIX) % 2**64
+        h ^= h >> 29
+        return model.weight[(h * int(toxicity._MIX) % 2**64) >> 48]
+
+    means = []
+    for word in "".join(" " if c in gaps else c for c in text.lower()).split(" "):
+        if not word:
+            continue
+        codes = [ord(c) for c in f" {word} "]
+        rows = [weight([ord(c) for c in word], lambda j: 8 + j % 56, 0)]
+        for n in toxicity.ORDERS:
+            rows += [weight(codes[i : i + n], lambda j: j, n) for i in range(len(codes) - n + 1)]
+        means.append(sum(rows) / len(rows))
+    z = model.scale * (sum(means) / len(means) if means else 0.0) + model.shift
+    return 1 / (1 + math.exp(-min(40, max(-40, z))))
+
+
+def test_scores_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(np.where(rng.random(toxicity.BUCKETS) < 0.5, rng.normal(0, 3, toxicity.BUCKETS), 0.0), 1.5, -0.3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60)
+    odd = spark.createDataFrame([(None,), ("",), (" !? ",), ("a",), ("Ünï çode 🙂🙂",), ("x" * 200,), ("don't a_b",)], "text string")
+    for r in docs.unionByName(odd).select("text", toxicity.score_column(F.col("text"), model).alias("s")).collect():
+        assert abs(r["s"] - plain_score(r["text"] or "", model)) < 1e-6, r["text"]
