@@ -13,9 +13,19 @@ from ..functions.text import half_up, normalize_text, once
 from ..rules import CLASSIFICATION, LEAST_SCORE, OTHER
 
 
+#: An upper-case letter that a match begins with, and a group of such beginnings.
+_LETTER = r"[A-Z](?![?*+{])"
+_GROUP = rf"\(\?:{_LETTER}(?:[^()|]|\(\?:[^()]*\))*(?:\|{_LETTER}(?:[^()|]|\(\?:[^()]*\))*)*\)(?![?*+{{])"
+
+
 def ascii_bounds(pattern: str) -> str:
-    """``\\b`` as an ASCII word boundary, where Java's knows more letters."""
+    """``\\b`` as an ASCII word boundary, where Java's knows more letters.
+
+    Before a letter it is looked for behind that letter, which few places have.
+    """
     edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    pattern = re.sub(rf"\\b({_LETTER})", r"\1(?<![A-Za-z0-9_]\1)", pattern)
+    pattern = re.sub(rf"\\b({_GROUP})", r"(?<![A-Za-z0-9_])\1", pattern)
     return re.sub(r"\\b", lambda _: edge, pattern)
 
 
