@@ -35,7 +35,7 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.floor(F.col("line_num") / 40).cast("int")
     return (
         words.withColumn("normalized", F.regexp_replace(F.upper("text"), "[^A-Z0-9]", ""))
-        .where("normalized <> ''")
+        .where(F.upper("text").rlike("[A-Z0-9]"))  # else nothing is left of it
         .select(
             "doc_id", page.alias("page_num"), F.concat_ws("-", page.cast("string"), F.lit("0"), F.lit("0"), F.col("line_num").cast("string")).alias("line_key"),
             (F.col("line_num").cast("long") * 100000 + F.col("word_num")).alias("word_seq"), "text", "normalized",
