@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, pii, toxicity
+from . import bpe, fingerprints, licenses, pii, prefixtrie, toxicity, variants
 from .ann import nearest_neighbours
 from .common import WORD_PATTERN, settle, table
 from .mixing import mix_sources
@@ -118,6 +118,54 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.damaged_words(table(spark, sf_dir, "documents")))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return made.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(edited).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, edited).alias("near_edited"), fingerprints.resemblance(own, after).alias("near_next"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(prefixtrie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 of the decimal id, byte by byte and bit by bit
+crc AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda r, c: list_reduce([xor(r, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT c.conv_id, o.i, o.role, o.text FROM crc c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.i <= c.h
+  UNION ALL SELECT conv_id, i, role, text FROM own JOIN crc USING (conv_id) WHERE i > h),
+placed AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, length(role) || ':' || length(text) || ':' || role || text AS said FROM turns),
+paths AS (
+  SELECT conv_id, depth, length(text) AS n, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM crc),
+above AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS done FROM paths),
+nodes AS (
+  SELECT k, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, any_value(n) AS n, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (done), '')) AS ends FROM above GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+-- every node under each node of its own path
+under AS (SELECT a.k, sum((b.n_convs - 1) * b.n) AS saved, count(*) FILTER (b.k NOT IN (SELECT k FROM kids)) AS leaves
+          FROM nodes b JOIN above a ON a.conv_id = b.conv_id AND a.depth <= b.depth GROUP BY a.k)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+       saved::BIGINT AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN under USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes p ON p.k = nodes.up
+"""
+
+
 OP8_SQL = """
 WITH rows AS (
   SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
@@ -147,8 +195,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_round_trip": op8_warc_round_trip,
         "op9_license_scan": op9_license_scan,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_fingerprints": op12_fingerprints,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3_SQL, "op8_warc_round_trip": OP8_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op8_warc_round_trip": OP8_SQL, "op13_prefix_trie": OP13_SQL}

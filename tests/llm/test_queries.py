@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from folioguard.llm import queries as q
-from tests.llm import test_licenses, test_pii, test_simhash
+from tests.llm import test_fingerprints, test_licenses, test_pii, test_simhash, test_variants
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +42,7 @@ def result(spark):
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_sql(result, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("conversations", "embeddings", "pages"):
         path = f"{SF}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     got = con.execute(q.oracle_sql()[name])
@@ -128,3 +128,13 @@ def test_op10(result):
         d[i] = np.inf
         hits.append(len(set(got) & set(ids[np.lexsort((ids, d))[:10]])) / 10)
     assert np.mean(hits) >= 0.9
+
+
+def test_op11(result, docs):
+    counts = test_variants.damaged([(i, r["text"]) for i, r in docs.items()])
+    assert {r["word"]: (r["n"], r["form"], r["root"], r["n_near"], r["form_n"]) for r in result("op11_spelling_variants")} == test_variants.plain(counts)
+
+
+def test_op12(result, docs):
+    want = test_fingerprints.plain([(i, r["text"]) for i, r in docs.items()])
+    assert sorted(map(repr, ((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in result("op12_fingerprints")))) == sorted(map(repr, want))
