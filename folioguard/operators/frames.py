@@ -152,13 +152,17 @@ def stability_counts(frames: DataFrame, *, threshold: float = 4.8, capture: int
 
 def settle_frames(frames: DataFrame, *, threshold: float = 4.8, timeout_ms: int = 1200) -> DataFrame:
     """The frame at which a manual capture of each session goes off: the second of
-    two quiet comparisons in a row, or the first frame after the timeout."""
+    two quiet comparisons in a row, or the first frame after the timeout; of a
+    session that ends before either, the last frame, by the timeout."""
     order = W.partitionBy("session_id").orderBy("ts", "frame_no")
     f = frames.withColumn("quiet", F.col("movement") <= threshold).withColumn("n", F.row_number().over(order)).withColumn("began", F.min("ts").over(W.partitionBy("session_id")))
     two = F.col("quiet") & F.coalesce(F.lag("quiet").over(order), F.lit(False)) & (F.col("n") > 2)
     late = F.unix_micros("ts") - F.unix_micros("began") >= timeout_ms * 1000
-    hit = f.withColumn("two", two).withColumn("late", late).where("two or late")
-    return hit.groupBy("session_id").agg(F.min_by(F.struct("frame_no", F.when(F.col("two") & ~F.col("late"), "quiet").otherwise("timeout").alias("why")), F.struct("ts", "frame_no")).alias("x")).select("session_id", "x.frame_no", "x.why")
+    f = f.withColumn("two", F.coalesce(two, F.lit(False))).withColumn("late", late)
+    place, why = F.struct("ts", "frame_no"), F.when(F.col("two") & ~F.col("late"), "quiet").otherwise("timeout")
+    hit = F.min_by(F.struct("frame_no", why.alias("why")), F.when(F.col("two") | F.col("late"), place))
+    last = F.struct(F.max_by("frame_no", place).alias("frame_no"), F.lit("timeout").alias("why"))
+    return f.groupBy("session_id").agg(F.coalesce(hit, last).alias("x")).select("session_id", "x.frame_no", "x.why")
 
 
 def sharpest(frames: DataFrame) -> DataFrame:

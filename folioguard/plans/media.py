@@ -334,8 +334,11 @@ SELECT event_id AS frame_no, printf('%.2f,%.2f %.2f,%.2f %.2f,%.2f %.2f,%.2f', (
        0.8 - 2 * d >= 0.4 AS plausible FROM f""",
     "settled_frames": """WITH q AS (SELECT user_id, event_id, value <= 4.8 AS quiet, epoch_us(ts) - epoch_us(ts) % 1000000 + (event_id % 4) * 400000 AS us FROM events),
 f AS (SELECT *, row_number() OVER w AS n, lag(quiet) OVER w AS before, min(us) OVER (PARTITION BY user_id) AS began FROM q WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
-h AS (SELECT *, quiet AND before AND n > 2 AS two, us - began >= 1200000 AS late FROM f)
-SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, CASE WHEN two AND NOT late THEN 'quiet' ELSE 'timeout' END AS why FROM h WHERE two OR late QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) = 1""",
+h AS (SELECT *, quiet AND before AND n > 2 AS two, us - began >= 1200000 AS late FROM f),
+-- a session without a hit goes off by the timer, with its last frame
+o AS (SELECT *, coalesce(two OR late, false) AS hit FROM h)
+SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, CASE WHEN two AND NOT late THEN 'quiet' ELSE 'timeout' END AS why FROM o
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY hit DESC, CASE WHEN hit THEN us ELSE -us END, CASE WHEN hit THEN event_id ELSE -event_id END) = 1""",
     "smoothed_corners": f"""{TRACKED} SELECT user_id::VARCHAR AS session_id, event_id AS frame_no, seen, round(0.1 + k, 9) AS x, round(0.9 - k, 9) AS y FROM t""",
     "latest_scan_states": """SELECT user_id % 5 AS folder_id, user_id AS doc_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'done' ELSE 'loading' END AS status, event_id % 10 / 10.0::DOUBLE AS progress,
        (CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 4 END)::INT AS n_detections FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",

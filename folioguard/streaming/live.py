@@ -72,33 +72,57 @@ def live_stream(frames: DataFrame, *, late: str = "1 minute", threshold: float =
     return frames.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def settle_stream(frames: DataFrame, *, late: str = "1 minute", threshold: float = 4.8, timeout_ms: int = 1200) -> DataFrame:
+def settle_stream(frames: DataFrame, *, late: str = "1 minute", threshold: float = 4.8, timeout_ms: int = 1200, clock: str = "event") -> DataFrame:
     """The frame at which a manual capture of each session goes off, once: after
-    two quiet comparisons in a row, or with the first frame after the timeout."""
+    two quiet comparisons in a row, or by the timer, ``timeout_ms`` after the
+    session's first frame.
+
+    The timer reports ``timeout`` with the first frame past it or, where none has
+    come when it goes off, with the last frame there was.  ``clock``: ``event``
+    lets it go off when the watermark passes it, so that a replay gives the same
+    rows; ``processing`` by the cluster's clock, for a capture that waits for it.
+    """
+    if clock not in ("event", "processing"):
+        raise ValueError("clock is event or processing")
+    by_event = clock == "event"
+
+    def wait(state: GroupState, due: float, done: bool, last: float) -> None:
+        if by_event:
+            if done:
+                expire(state, last)
+            else:
+                state.setTimeoutTimestamp(int(max(due, state.getCurrentWatermarkMs() + 1)))
+        else:
+            state.setTimeoutDuration(QUIET_MS if done else int(max(1, due - state.getCurrentProcessingTimeMs())))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        began, n, quiet, done = state.get if state.exists else (0.0, 0, 0, False)
-        last = 0.0
+        began, due, n, quiet, done, last, frame_no = state.get if state.exists else (0.0, 0.0, 0, 0, False, 0.0, -1)
         out = []
+        if state.hasTimedOut:
+            if done:
+                state.remove()
+                return
+            out.append((key[0], frame_no, "timeout"))
+            done = True
         for r in sorted((r for p in parts for r in p.to_dict("records")), key=lambda r: (r["ts"], r["frame_no"])):
+            last = max(last, r["ts"].timestamp() * 1000)
             if done:
-                last = max(last, r["ts"].timestamp() * 1000)
                 continue
-            at = last = r["ts"].timestamp() * 1000
-            began = at if not n else began
+            at, frame_no = r["ts"].timestamp() * 1000, int(r["frame_no"])
+            if not n:
+                began, due = at, (at if by_event else state.getCurrentProcessingTimeMs()) + timeout_ms
             quiet = (quiet + 1 if r["movement"] <= threshold else 0) if n else 0
             n += 1
-            late = at - began >= timeout_ms
-            if quiet >= 2 or late:
-                out.append((key[0], int(r["frame_no"]), "timeout" if late else "quiet"))
+            over = at - began >= timeout_ms
+            if quiet >= 2 or over:
+                out.append((key[0], frame_no, "timeout" if over else "quiet"))
                 done = True
-        state.update((began, n, quiet, done))
-        expire(state, last)
+        state.update((began, due, n, quiet, done, last, frame_no))
+        wait(state, due, done, last)
         yield pd.DataFrame(out, columns=["session_id", "frame_no", "why"])
 
-    return frames.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(
-        step, "session_id string, frame_no long, why string", "began double, n int, quiet int, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+    timed = frames.withWatermark("ts", late) if by_event else frames
+    return timed.groupBy("session_id").applyInPandasWithState(
+        step, "session_id string, frame_no long, why string", "began double, due double, n int, quiet int, done boolean, last double, frame_no long", "append",
+        GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout,
     )

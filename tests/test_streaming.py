@@ -1,6 +1,7 @@
 """Streams against their batch twins on the same events."""
 
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,39 @@ def test_settle(spark, few):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, frames.settle_frames(quick).collect()))
 
 
+def captures(spark, rows):
+    return spark.createDataFrame(rows, "session_id string, frame_no long, ms long, movement double").withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+
+
+def test_the_timer_goes_off_without_a_further_frame(spark):
+    """One session stops after one frame, one after two; others move the watermark."""
+    rows = [("once", 1, 1000, 9.0), ("twice", 1, 1100, 9.0), ("twice", 2, 1500, 1.0), ("moves", 1, 2000, 9.0), ("moves", 2, 3300, 9.0), ("quiet", 1, 3400, 9.0), ("quiet", 2, 3500, 1.0), ("quiet", 3, 3600, 1.0),
+            ("clock", 1, 200_000, 9.0), ("quiet", 4, 210_000, 1.0)]
+    df = captures(spark, rows)
+    batch = {(r["session_id"], r["frame_no"], r["why"]) for r in frames.settle_frames(df).collect()}
+    assert batch == {("once", 1, "timeout"), ("twice", 2, "timeout"), ("moves", 2, "timeout"), ("quiet", 3, "quiet"), ("clock", 1, "timeout")}
+    got = run(settle_stream(streamed(spark, df, "ts", 5)), "timer").collect()
+    # The last session waits until the watermark passes its timer.
+    assert sorted(map(tuple, got)) == sorted(batch - {("clock", 1, "timeout")})
+
+
+def test_the_timer_by_the_clock(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    df = captures(spark, [("once", 7, 1000, 9.0), ("quiet", 1, 1000, 9.0), ("quiet", 2, 1100, 1.0), ("quiet", 3, 1200, 1.0)])
+    df.coalesce(1).write.mode("append").parquet(path)
+    stream = settle_stream(spark.readStream.schema(df.schema).parquet(path), clock="processing")
+    query = stream.writeStream.format("memory").queryName("clock").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            rows = sorted(map(tuple, spark.table("clock").collect()))
+            if len(rows) == 2:
+                break
+        assert rows == [("once", 7, "timeout"), ("quiet", 3, "quiet")]
+    finally:
+        query.stop()
+
+
 def test_autosaves_and_the_gap_itself(spark):
     ms = [0, 100, 800, 1499, 2199, 2900, 60_000]
     rows = [("d", f"t{i}", m, i) for i, m in enumerate(ms)]
