@@ -1,21 +1,18 @@
 """Folders: slots, admission, order, completeness, page plans, progress, export.
 
 A folder may hold a third of all documents, so nothing collects one: counts are
-aggregated before they meet, and the order-dependent assignment streams a sorted
-folder through a state of a few numbers.
+aggregated before they meet.  The order-dependent assignment is in ``assign``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, page_label
 from ..rules import MULTI, OTHER, SLOTS, SURE, TYPE_TO_SLOT
+from .assign import assign_slots
 
 #: Folders are cut at multiples of two to this power of their order.
 RANGE_BITS = 16
@@ -238,45 +235,3 @@ def append_pages(pages: DataFrame, extra: DataFrame, states: DataFrame) -> tuple
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("page_no"))
     moved = extra.withColumn("place", place).join(most, "doc_id").withColumn("page_no", (F.col("most") + F.col("place")).cast("int")).drop("most", "place")
     return pages.unionByName(moved), states.join(extra.select("doc_id").distinct(), "doc_id", "left_anti")
-
-
-def assign_slots(documents: DataFrame, turns: DataFrame) -> DataFrame:
-    """(``folder_id``, ``id``, ``slot``) after all ``turns`` (``folder_id``,
-    ``id``, ``turn``, ``wanted``) in order.
-
-    A turn moves its document to the wanted slot if that takes several documents
-    or no other document is in it; else nothing happens.  A turn without a wanted
-    slot does nothing.  A moved document frees its slot.
-
-    The turns of a folder are sorted and streamed; the state is, for each single
-    slot, how many documents are in it, and the new slot of documents that moved.
-    """
-    single = documents.where(F.col("slot").isNotNull() & ~is_multi(F.col("slot")))
-    counts = single.groupBy("folder_id", "slot").agg(F.count(F.lit(1)).alias("n"))
-    start = counts.groupBy("folder_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("held"))
-    steps = turns.where("wanted is not null").join(documents.select("folder_id", "id", "slot"), ["folder_id", "id"])
-    work = steps.join(start, "folder_id", "left").select("folder_id", "turn", "id", "slot", "wanted", F.to_json(F.coalesce("held", F.create_map().cast("map<string,bigint>"))).alias("held"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        folder, held, moved = None, {}, {}
-        for batch in batches:
-            out = []
-            for f, turn, i, slot, wanted, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if f != folder:
-                    folder, held, moved = f, json.loads(first), {}
-                now = moved.get(i, slot)
-                if wanted != now and (wanted in MULTI or not held.get(wanted)):
-                    if now in held:
-                        held[now] -= 1
-                    if wanted not in MULTI:
-                        held[wanted] = held.get(wanted, 0) + 1
-                    moved[i] = wanted
-                    out.append((f, i, turn, wanted))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["folder_id", "id", "turn", "slot"])
-
-    moves = work.repartition("folder_id").sortWithinPartitions("folder_id", "turn", "id").mapInArrow(fold, "folder_id string, id long, turn long, slot string")
-    last = moves.groupBy("folder_id", "id").agg(F.max_by("slot", "turn").alias("moved"))
-    return documents.join(last, ["folder_id", "id"], "left").select("folder_id", "id", F.coalesce("moved", "slot").alias("slot"))
