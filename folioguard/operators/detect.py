@@ -43,16 +43,17 @@ def mean_confidence(words: Column) -> Column:
 
 
 def words_in(words: Column, start: Column, end: Column) -> Column:
-    """The words of a line that a range of its compact text touches, by one pass
-    over the line."""
-    none = F.struct(F.lit(0).alias("at"), F.filter(words, lambda w: F.lit(False)).alias("found"))
+    """The words of a line that a range of its compact text touches: one slice of
+    the line, by the places where its words end.  Words between have characters."""
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("skipped"), F.lit(0).alias("touched"))
 
     def step(state: Column, w: Column) -> Column:
         at = state["at"] + F.length(w["normalized"])
-        touched = (at > start) & (state["at"] < end)
-        return F.struct(at.alias("at"), F.when(touched, F.array_append(state["found"], w)).otherwise(state["found"]).alias("found"))
+        return F.struct(
+            at.alias("at"), (state["skipped"] + (at <= start).cast("int")).alias("skipped"), (state["touched"] + ((at > start) & (state["at"] < end)).cast("int")).alias("touched")
+        )
 
-    return F.aggregate(words, none, step, lambda state: state["found"])
+    return F.aggregate(words, none, step, lambda state: F.slice(words, state["skipped"] + 1, state["touched"]))
 
 
 HIT = "array<struct<label: string, value: string, start: int, end: int>>"
@@ -113,19 +114,17 @@ def detect(words: DataFrame) -> DataFrame:
     The identity number nearest below a label only counts where no line of the
     document has one: of the first label with a candidate, the nearest, then the
     first in input order.  Of repeats with one label, rounded corner and value the
-    first stays.
+    first stays.  Labels and numbers meet in the cells of a grid, so the work grows
+    with the words of a document.
     """
     marks = line_marks(assemble_lines(words.select("doc_id", "line_key", *WORD)))
-    doc = W.partitionBy("doc_id")
-    own = F.get("words", F.lit(0))
-    label = F.when(F.col("role") == "label", F.struct(own["word_seq"].alias("seq"), own["left"].alias("left"), (own["top"] + own["height"]).alias("bottom"), own["height"].alias("height")))
-    down, across = lambda l: own["top"] - l["bottom"], lambda l: F.abs(own["left"] - l["left"])
+    doc, own = W.partitionBy("doc_id"), F.get("words", F.lit(0))
+    placed = marks.withColumn("numbered", F.max((F.col("role") == "hit") & (F.col("label") == ID_NUMBER)).over(doc))
+    met = with_labels_of_cell(placed.withColumns({"left": own["left"], "top": own["top"], "height": own["height"], "word_seq": own["word_seq"]}))
+    down, across = lambda l: F.col("top") - l["bottom"], lambda l: F.abs(F.col("left") - l["left"])
     near = lambda l: (down(l) >= -4) & (down(l) <= F.greatest(F.lit(80.0), l["height"] * 5)) & (across(l) <= 180)
-    rank = lambda l: F.struct(l["seq"].alias("label_seq"), (F.abs(down(l)) + across(l) * 0.2).alias("far"), own["word_seq"].alias("word_seq"))
-    placed = marks.withColumns(
-        {"labels": F.collect_list(label).over(doc), "numbered": F.max((F.col("role") == "hit") & (F.col("label") == ID_NUMBER)).over(doc)}
-    )
-    ranked = placed.withColumn("rank", F.when((F.col("role") == "value") & ~F.col("numbered"), F.array_min(F.transform(F.filter("labels", near), rank)))).drop("labels")
+    rank = lambda l: F.struct(l["seq"].alias("label_seq"), (F.abs(down(l)) + across(l) * 0.2).alias("far"), F.col("word_seq").alias("word_seq"))
+    ranked = met.withColumn("rank", F.when((F.col("role") == "value") & ~F.col("numbered"), F.array_min(F.transform(F.filter("labels", near), rank)))).drop("labels")
     nearest = F.coalesce(F.col("rank") == F.min("rank").over(doc), F.lit(False))
     found = ranked.withColumn("nearest", nearest).where(F.col("role").isin("hit", "sign") | F.col("nearest")).select(
         "doc_id", "label", "value", mean_confidence(F.col("words")).alias("confidence"), "selected", union_box(F.col("words")).alias("bbox"), "seq"
@@ -133,6 +132,46 @@ def detect(words: DataFrame) -> DataFrame:
     return first_of_each(found.withColumn("detection_id", detection_key(F.col("label"), F.col("bbox"), F.col("value"))))
 
 
+#: How far right or left, and how far down, a number may be from its label.
+ACROSS, DOWN, UP = 180, 80, 4
+
+
+def with_labels_of_cell(marks: DataFrame) -> DataFrame:
+    """``marks`` but labels, with ``labels``: of values, those labels that may be
+    near, as array<struct<seq, left, bottom, height>>.
+
+    Documents are laid out in cells of ``ACROSS`` by ``DOWN``, and by twice, four
+    times ... ``DOWN`` for higher labels.  A label is in the few cells of its level
+    that a value near it can be in, a value in one of each level of its document;
+    they meet within cells, all in the partitions of their documents.  Of labels at
+    one place the first counts.
+    """
+    label, value = F.col("role") == "label", F.col("role") == "value"
+
+    def step(x, size) -> Column:
+        return F.floor(F.least(F.greatest(x / size, F.lit(-1e15)), F.lit(1e15))).cast("long")
+
+    def cell(level: Column, column: Column, row: Column) -> Column:
+        return F.struct(level.alias("level"), column.alias("column"), row.alias("row"))
+
+    column, bottom = step(F.col("left"), ACROSS), F.col("top") + F.col("height")
+    band = F.greatest(F.lit(float(DOWN)), F.col("height") * 5)
+    level = F.ceil(F.log2(F.least(band / DOWN, F.lit(1e15)))).cast("int")
+    size = lambda k: F.lit(float(DOWN)) * F.pow(F.lit(2.0), k)
+    rows = F.sequence(step(bottom - UP, size(level)), step(bottom + band, size(level)))
+    reach = F.flatten(F.transform(F.sequence(column - 1, column + 1), lambda c: F.transform(rows, lambda r: cell(level, c, r))))
+    own = F.transform(F.collect_set(F.when(label, level)).over(W.partitionBy("doc_id")), lambda k: cell(k, column, step(F.col("top"), size(k))))
+    nowhere = cell(F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+    first = F.row_number().over(W.partitionBy("doc_id", "role", "left", "top", "height").orderBy("word_seq"))
+    dealt = marks.withColumns({"nth": first, "own": own}).where(~label | (F.col("nth") == 1))
+    cells = F.when(label, reach).when(value, F.col("own")).otherwise(F.array(nowhere))
+    dealt = dealt.withColumn("cell", F.explode(cells)).drop("nth", "own")
+    known = F.when(label, F.struct(F.col("word_seq").alias("seq"), "left", bottom.alias("bottom"), "height"))
+    # Hits have no cell of their own; each is alone in one, whatever their number.
+    place = W.partitionBy("doc_id", "cell", F.when(~label & ~value, F.col("seq")))
+    return dealt.withColumn("labels", F.when(value, F.collect_list(known).over(place))).where(~label).drop("cell")
+
+
 def detection_key(label: Column, bbox: Column, value: Column) -> Column:
     return F.concat_ws("-", label, half_up(bbox["left"]).cast("string"), half_up(bbox["top"]).cast("string"), value)
 

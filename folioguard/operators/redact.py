@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import redaction_rectangle
@@ -13,11 +14,27 @@ BLOCK = "█"
 def boxes_to_pages(detections: DataFrame, pages: DataFrame) -> DataFrame:
     """Each detection on the page (``doc_id``, ``page_no``, ``top``, ``width``,
     ``height``) whose band holds its vertical centre.  Detections on no page stay
-    with a null page, so that none is lost in silence."""
-    p = pages.select("doc_id", "page_no", F.col("top").alias("page_top"), F.col("width").alias("page_width"), F.col("height").alias("page_height"))
-    centre = F.col("bbox.top") + F.col("bbox.height") / 2
-    inside = (detections["doc_id"] == p["doc_id"]) & (centre >= F.col("page_top")) & (centre < F.col("page_top") + F.col("page_height"))
-    return detections.join(p, inside, "left").drop(p["doc_id"])
+    with a null page, so that none is lost in silence.
+
+    An as-of join: pages and detections of a document are sorted together by height,
+    and each detection looks at the last page that begins at or above it, the one
+    with the highest number where several begin together.  Bands of pages do not
+    overlap, so no other could hold it.  Columns of pages do not clash with those of
+    detections.
+    """
+    names = detections.columns
+    at = F.col("bbox.top") + F.col("bbox.height") / 2
+    page = "struct<page_no: {}, top: double, width: double, height: double>".format(pages.schema["page_no"].dataType.simpleString())
+    boxes = detections.select(F.col("doc_id").alias("__doc"), at.alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(page).alias("__page"), F.struct(*names).alias("__box"))
+    bands = pages.where(F.col("top").isNotNull() & F.col("height").isNotNull()).select(
+        F.col("doc_id").alias("__doc"), F.col("top").cast("double").alias("__at"), F.lit(0).alias("__kind"),
+        F.struct("page_no", F.col("top").cast("double").alias("top"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")).alias("__page"),
+        F.lit(None).cast(boxes.schema["__box"].dataType).alias("__box"),
+    )
+    order = W.partitionBy("__doc").orderBy("__at", "__kind", F.col("__page.page_no")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = boxes.unionByName(bands).withColumn("__last", F.last("__page", ignorenulls=True).over(order)).where("__kind = 1")
+    held = met.withColumn("__last", F.when(F.col("__at") < F.col("__last.top") + F.col("__last.height"), F.col("__last")))
+    return held.select("__box.*", F.col("__last.page_no").alias("page_no"), F.col("__last.top").alias("page_top"), F.col("__last.width").alias("page_width"), F.col("__last.height").alias("page_height"))
 
 
 def rectangles(placed: DataFrame, mode: str = "folder") -> DataFrame:
