@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import half_up, page_label
 from ..rules import MULTI, OTHER, SLOTS, SURE, TYPE_TO_SLOT
+from ..sources.scratch import settle
 from .assign import assign_slots
 
 #: Folders are cut at multiples of two to this power of their order.
@@ -84,14 +85,18 @@ def sort_order() -> list[Column]:
 def positions(documents: DataFrame) -> DataFrame:
     """``documents`` with ``position`` from 1 in their sorted folder.
 
-    Folders are cut at slots: only the slots' counts are summed over a folder.
+    Documents are sorted in ranges of (folder, slot, name, id), split where a sample
+    says, so a slot of any size is in many tasks: each is ranked within its folder
+    and range, and the numbers in earlier ranges are added.
     """
-    slot = slot_order(F.col("slot"))
-    place = F.row_number().over(W.partitionBy("folder_id", "__slot").orderBy(F.collate(F.col("name"), "de"), "id"))
-    counts = documents.groupBy("folder_id", slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy("folder_id").orderBy("__slot").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n"))
-    placed = documents.withColumn("__slot", slot).withColumn("__place", place)
-    return placed.join(before.drop("__n"), ["folder_id", "__slot"]).withColumn("position", F.col("__before") + F.col("__place")).drop("__slot", "__place", "__before")
+    sort = documents.withColumn("__slot", slot_order(F.col("slot"))).withColumn("__name", F.collate("name", "de"))
+    ranged = settle(sort.repartitionByRange("folder_id", "__slot", "__name", "id").drop("__name").withColumn("__part", F.spark_partition_id()), "folder-order")
+    place = F.row_number().over(W.partitionBy("folder_id", "__part").orderBy("__slot", F.collate("name", "de"), "id"))
+    counts = ranged.groupBy(F.col("folder_id").alias("__f"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    below = F.sum("__n").over(W.partitionBy("__f").orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select("__f", "__p", F.coalesce(below, F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__place", place).join(before, F.col("folder_id").eqNullSafe(F.col("__f")) & (F.col("__part") == F.col("__p")))
+    return placed.withColumn("position", F.col("__before") + F.col("__place")).select(*documents.columns, "position")
 
 
 def confirmed(slot: Column, status: Column, kind: Column, confidence: Column, least: int = SURE) -> Column:

@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from folioguard.operators import folder
+from folioguard.rules import SLOTS
 
 SCHEMA = "folder_id string, id long, ord long, name string, page_count double, include_cover boolean"
 
@@ -30,3 +34,25 @@ def test_plans_of_cut_folders_against_a_plain_loop(spark, monkeypatch):
 def test_empty_folders(spark):
     plan = folder.page_plan(spark.createDataFrame([], SCHEMA))
     assert plan.collect() == []
+
+
+def test_positions_of_cut_slots(spark):
+    """Most documents are in one slot of one folder; names tie."""
+    rng = random.Random(3)
+    names = ["doc-2.pdf", "doc-10.pdf", "Äpfel.pdf", "apfel.pdf", "Zebra.pdf", "äpfel.pdf"]
+    slots = [*SLOTS, None]
+    rows = [(rng.choice(["hot"] * 8 + ["f", None]), i, slots[0] if rng.random() < 0.8 else rng.choice(slots), rng.choice(names)) for i in range(700)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "folder_id string, id long, slot string, name string").withColumn("extra", F.lit(1))
+    whole = W.partitionBy("folder_id").orderBy(*folder.sort_order())
+    want = {r["id"]: r["p"] for r in df.withColumn("p", F.row_number().over(whole)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = folder.positions(df)
+        got = {r["id"]: r["position"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and out.columns == [*df.columns, "position"]
+    assert folder.positions(df.limit(0)).collect() == []
