@@ -149,10 +149,11 @@ def latest_drafts(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_drafts(spark: SparkSession, sf: str) -> DataFrame:
     """All versions are put into a store; then the drafts of every tenth user are
-    deleted, by their ids."""
+    deleted, by their ids, and the store is compacted."""
     versions, path = fx.draft_versions(spark, sf), scratch_dir(spark, "drafts")
     store.put_drafts(versions, path)
     store.delete_drafts(versions.where("cast(id as long) % 10 = 0").select("id"), path)
+    store.compact_drafts(spark, path)
     return drafts.latest_drafts(store.read_versions(spark, path))
 
 
