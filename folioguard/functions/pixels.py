@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 SCAN, FRAME = (0.299, 0.587, 0.114), (0.2126, 0.7152, 0.0722)
 
 
-def _plane(raw: bytes | None, width: int | None, height: int | None, channels: int) -> np.ndarray | None:
-    """(height, width, 3) in red, green, blue; None for a broken raster."""
+def _plane(raw: bytes | None, width: int | None, height: int | None, channels: int, bgr: bool = False) -> np.ndarray | None:
+    """(height, width, 3) in red, green, blue; None for a broken raster.  ``bgr``:
+    the raster has blue first."""
     if raw is None or not width or not height or width < 1 or height < 1 or len(raw) < width * height * channels:
         return None
     a = np.frombuffer(raw, np.uint8, width * height * channels).reshape(height, width, channels)
-    return a[:, :, :3] if channels >= 3 else np.repeat(a[:, :, :1], 3, axis=2)
+    if channels < 3:
+        return np.repeat(a[:, :, :1], 3, axis=2)
+    return a[:, :, 2::-1] if bgr else a[:, :, :3]
 
 
 def _grey(plane: np.ndarray, weights: tuple) -> np.ndarray:
@@ -103,14 +106,14 @@ def burn(plane: np.ndarray, rects: list[tuple[float, float, float, float]]) -> n
     return out
 
 
-def _numbers(kind: str, fields: list[str], use: Callable[[np.ndarray], tuple], broken: tuple, channels: int):
+def _numbers(kind: str, fields: list[str], use: Callable[[np.ndarray], tuple], broken: tuple, channels: int, bgr: bool = False):
     arrow = {"double": pa.float64(), "int": pa.int32()}[kind]
 
     @F.arrow_udf("struct<" + ", ".join(f"{f}: {kind}" for f in fields) + ">")
     def run(raw: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
         rows = []
         for r, w, h in zip(raw.to_pylist(), width.to_pylist(), height.to_pylist(), strict=True):
-            plane = _plane(r, w, h, channels)
+            plane = _plane(r, w, h, channels, bgr)
             rows.append(broken if plane is None else use(plane))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
         return pa.StructArray.from_arrays([pa.array(c, arrow) for c in columns], fields)
@@ -128,9 +131,9 @@ def sharpness_column(raw: Column, width: Column, height: Column, channels: int =
     return _numbers("double", ["value"], lambda p: (sharpness(p),), (0.0,), channels)(raw, width, height)["value"]
 
 
-def paper_bounds_column(raw: Column, width: Column, height: Column, channels: int = 4) -> Column:
+def paper_bounds_column(raw: Column, width: Column, height: Column, channels: int = 4, bgr: bool = False) -> Column:
     """struct(left, top, width, height) of the paper; nulls for a broken raster."""
-    return _numbers("int", ["left", "top", "width", "height"], paper_bounds, (None,) * 4, channels)(raw, width, height)
+    return _numbers("int", ["left", "top", "width", "height"], paper_bounds, (None,) * 4, channels, bgr)(raw, width, height)
 
 
 def movement_column(before: Column, now: Column, width: Column, height: Column, channels: int = 4) -> Column:
@@ -155,7 +158,7 @@ def burn_column(raw: Column, width: Column, height: Column, rects: Column, chann
     def run(raw: pa.Array, width: pa.Array, height: pa.Array, rects: pa.Array) -> pa.Array:
         out = []
         for r, w, h, boxes in zip(raw.to_pylist(), width.to_pylist(), height.to_pylist(), rects.to_pylist(), strict=True):
-            if _plane(r, w, h, channels) is None:
+            if not boxes or _plane(r, w, h, channels) is None:
                 out.append(r)
                 continue
             a = np.frombuffer(r, np.uint8, w * h * channels).reshape(h, w, channels)

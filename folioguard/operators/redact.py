@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import redaction_rectangle
+from ..functions.pixels import burn_column
 
 BLOCK = "█"
 
@@ -56,3 +57,16 @@ def redact_words(words: DataFrame, rects: DataFrame) -> DataFrame:
     touches = lambda r: (r["left"] < F.col("left") + F.col("width")) & (r["left"] + r["width"] > F.col("left")) & (r["top"] < y + F.col("height")) & (r["top"] + r["height"] > y)
     marked = words.join(by_page, ["doc_id", "page_no"], "left").withColumn("redacted", F.coalesce(F.exists("rects", touches), F.lit(False))).drop("rects")
     return marked.withColumn("shown", F.when(F.col("redacted"), F.repeat(F.lit(BLOCK), F.length("text"))).otherwise(F.col("text")))
+
+
+def burn_images(images: DataFrame, rects: DataFrame, channels: int = 3) -> DataFrame:
+    """``images`` (``image_id``, ``width``, ``height``, ``pixels``) with the
+    rectangles (``image_id``, ``rect``) of each made black.
+
+    Only the rectangles are grouped; images without any pass through.  Spark sends
+    the rectangles to the images where they are small by its own measure.  Null
+    rectangles and rectangles of no image do nothing.
+    """
+    by_image = rects.where(F.col("rect").isNotNull()).groupBy(F.col("image_id").alias("__image")).agg(F.collect_list("rect").alias("__rects"))
+    joined = images.join(by_image, F.col("image_id") == F.col("__image"), "left")
+    return joined.withColumn("pixels", burn_column(F.col("pixels"), F.col("width"), F.col("height"), F.col("__rects"), channels)).drop("__image", "__rects")

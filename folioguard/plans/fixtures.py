@@ -6,9 +6,16 @@ to each text, so that every rule has something to find.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
+
 #: The line added to documents, by ``doc_id % 16``.
 LINES = [
     "", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "Steuer ID 12345678901", "Sozialversicherung 12039012A123", "Dokument Nr L01X00T471",
@@ -107,3 +114,53 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 0.5) * 255).cast("int"))))
     return e.select(F.col("vec_id").alias("image_id"), F.col("label").alias("burst"), F.lit(8).alias("width"), F.lit(8).alias("height"), grey.alias("grey"))
+
+
+#: Pixels of a side of a page image; each grey number is a square of an eighth of it.
+SIDE = 64
+
+
+def png(rgb: np.ndarray) -> bytes:
+    """A PNG file of (height, width, 3)."""
+    height, width, _ = rgb.shape
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), rgb.reshape(height, -1)], axis=1).tobytes()
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
+
+
+def _page_files(grey: Column, left: Column, right: Column, top: Column, bottom: Column) -> Column:
+    """PNG files of dark noise with a bright, slightly yellow page on it."""
+
+    @F.arrow_udf("binary")
+    def run(grey: pa.Array, left: pa.Array, right: pa.Array, top: pa.Array, bottom: pa.Array) -> pa.Array:
+        out = []
+        for g, a, b, c, d in zip(*[x.to_pylist() for x in (grey, left, right, top, bottom)], strict=True):
+            dark = np.kron(np.array(g, np.int64).reshape(8, 8) // 4, np.ones((SIDE // 8, SIDE // 8), np.int64))
+            dark[c:d, a:b] += 160
+            out.append(png(np.stack([dark, dark, np.maximum(0, dark - 30)], axis=2).astype(np.uint8)))
+        return pa.array(out, pa.binary())
+
+    return run(grey, left, right, top, bottom)
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of PNG files, one of each embedding: ``image=<id>/part-...``.  The
+    page in it is of a place and size by the id, at times too small for a paper."""
+    n = F.col("image_id")
+    edges = {"left": n % 5 * 3, "right": 64 - n % 7 * 5, "top": n % 3 * 4, "bottom": 64 - n % 4 * 12}
+    files = rasters(spark, sf_dir).select(n.alias("image"), _page_files(F.col("grey"), *[e.cast("int") for e in edges.values()]).cast("string").alias("value"))
+    path = scratch_dir(spark, "images")
+    # Text files of these very bytes, with a line break that decoders do not read.
+    files.sortWithinPartitions("image").write.partitionBy("image").text(path)
+    return path
+
+
+def scanned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page images, read back and decoded by Spark."""
+    from ..sources.images import read_images
+
+    images = read_images(spark, page_images(spark, sf_dir))
+    return images.select(F.regexp_extract("path", "image=([0-9]+)", 1).cast("long").alias("image_id"), "width", "height", "channels", "pixels")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import pixels, quality
 from ..functions import text as t
-from ..operators import detect, edits, frames
+from ..operators import detect, edits, frames, redact
+from ..sources import images, ocr
 from . import fixtures as fx
 from .words import BULLETS, FOUND
 
@@ -109,6 +110,38 @@ def burned_rasters(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("image_id", F.hex(pixels.burn_column(F.col("raw"), F.col("width"), F.col("height"), rects, 1)).alias("burned"))
 
 
+def paper_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The paper in each page image."""
+    scans = fx.scanned_images(spark, sf)
+    return scans.select("image_id", "width", "height", pixels.paper_bounds_column(F.col("pixels"), F.col("width"), F.col("height"), 3, bgr=True).alias("b")).select(
+        "image_id", "width", "height", F.col("b.left").alias("left"), F.col("b.top").alias("top"), F.col("b.width").alias("paper_width"), F.col("b.height").alias("paper_height")
+    )
+
+
+def burned_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Page images with the rectangles of their detections burned in: none, one or
+    two of them.  What is left of the pixels is summed up."""
+    scans, n = fx.scanned_images(spark, sf), F.col("image_id")
+    box = lambda left, top, width, height: F.struct(*[x.cast("double").alias(k) for k, x in (("left", left), ("top", top), ("width", width), ("height", height))])
+    found = F.slice(F.array(box(n % 11 * 4.5, n % 13 * 3.0, F.lit(20.25), F.lit(9.5)), box(n % 9 * 8 - 6, F.lit(50), F.lit(12), n % 6 * 5)), F.lit(1), (n % 3).cast("int"))
+    rects = fx.rasters(spark, sf).select("image_id", F.explode(found).alias("rect"))
+    burned = redact.burn_images(scans, rects)
+    at = F.sequence(F.lit(1), F.octet_length("pixels"), F.lit(3))
+    red = F.transform(at, lambda i: F.conv(F.hex(F.substring("pixels", i + 2, F.lit(1))), 16, 10).cast("long"))
+    sums = F.aggregate(F.transform(red, lambda x, i: F.struct(x.alias("v"), i.alias("i"))), F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("k")),
+                       lambda a, p: F.struct((a["s"] + p["v"]).alias("s"), (a["w"] + p["v"] * (p["i"] + 1)).alias("w"), (a["k"] + (p["v"] == 0).cast("long")).alias("k")))
+    return burned.select("image_id", sums.alias("t")).select("image_id", F.col("t.s").alias("red_sum"), F.col("t.w").alias("weighted"), F.col("t.k").alias("n_black"))
+
+
+def selected_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Those of the users' files that can be scanned, by content type or name."""
+    n, ends = F.col("doc_id"), (".pdf", ".PDF", ".png", ".txt", ".tar.gz", "", ".jpeg")
+    names = F.concat(F.lit("scan "), n.cast("string"), F.element_at(F.array(*[F.lit(e) for e in ends]), (n % 7).cast("int") + 1))
+    files = fx.table(spark, sf, "documents").select("doc_id", names.alias("name"), (n % 4).alias("told"))
+    told = F.when(F.col("told") == 0, images.mime_of(F.col("name"))).when(F.col("told") == 1, "application/pdf").when(F.col("told") == 2, "image/heic").otherwise("text/plain")
+    return files.withColumn("mime", told).where(ocr.supported(F.col("name"), F.col("mime"))).select("doc_id", "name", "mime")
+
+
 def frame_movement(spark: SparkSession, sf: str) -> DataFrame:
     r = raster_bytes(spark, sf).select(F.col("burst").alias("session_id"), F.col("image_id").alias("frame_no"), F.col("image_id").alias("ts"), "raw", "width", "height")
     pairs = frames.frame_pairs(r, ("raw",))
@@ -188,7 +221,7 @@ QUERIES = {
     "stability_counts": stability_counts, "paper_polygons": paper_polygons,
     "page_edits": page_edits, "review_clicks": review_clicks,
     "display_texts": display_texts, "profiles": profiles, "box_geometry": box_geometry, "camera_geometry": camera_geometry, "corner_checks": corner_checks, "scan_quality": scan_quality,
-    "frame_sharpness": frame_sharpness, "burned_rasters": burned_rasters, "frame_movement": frame_movement, "sharpest_frames": sharpest_frames, "live_states": live_states, "settled_frames": settled_frames,
+    "frame_sharpness": frame_sharpness, "burned_rasters": burned_rasters, "paper_bounds": paper_bounds, "burned_images": burned_images, "selected_files": selected_files, "frame_movement": frame_movement, "sharpest_frames": sharpest_frames, "live_states": live_states, "settled_frames": settled_frames,
     "smoothed_corners": smoothed_corners, "latest_scan_states": latest_scan_states, "review_toggles": review_toggles, "autosaves": autosaves,
 }
 
@@ -198,6 +231,10 @@ _title = "CASE WHEN event_id % 3 > 0 THEN '  Größe/' || event_type || ' ' END"
 NUMBERS = """n AS (SELECT event_id, value AS v, user_id::DOUBLE AS u, (event_id % 97)::DOUBLE AS m FROM events),
 b AS (SELECT *, v AS l, u AS t, m + 1 AS w, u + 2 AS h, m * 10 AS sw, u * 5 AS sh, m + 50 AS rw, u + 50 AS rh FROM n)"""
 _grey = "list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 0.5) * 255))))"
+#: Red, green and blue of the page images; every pixel, or every second one of both axes.
+PAGES = f"""px AS (SELECT vec_id AS id, list_transform({_grey}, lambda v: v::BIGINT) AS p, vec_id % 5 * 3 AS l, 64 - vec_id % 7 * 5 AS r, vec_id % 3 * 4 AS t, 64 - vec_id % 4 * 12 AS b FROM embeddings),
+axis AS (SELECT unnest(range(0, 64)) AS k),
+dots AS (SELECT id, x.k AS x, y.k AS y, p[y.k // 8 * 8 + x.k // 8 + 1] // 4 + CASE WHEN x.k >= l AND x.k < r AND y.k >= t AND y.k < b THEN 160 ELSE 0 END AS v FROM px, axis x, axis y)"""
 LAPLACE = f"""px AS (SELECT vec_id, label, {_grey} AS p FROM embeddings),
 lap AS (SELECT vec_id, list_reverse_sort(list_transform(list_filter(range(1, 65), lambda i: (i - 1) % 8 BETWEEN 1 AND 6 AND (i - 1) // 8 BETWEEN 1 AND 6),
   lambda i: abs(4 * p[i] - p[i - 1] - p[i + 1] - p[i - 8] - p[i + 8]))) AS r, p FROM px)"""
@@ -307,6 +344,24 @@ SELECT image_id, round(mean, 6) AS mean, round(deviation, 4) AS deviation, round
                WHEN 3 THEN CASE WHEN s3 = 'poor' THEN 'Aufnahme ist zu dunkel' WHEN mean < 88 THEN 'Mehr Licht wäre besser' ELSE 'Sehr hell – Text prüfen' END
                WHEN 4 THEN CASE s4 WHEN 'poor' THEN 'Text hebt sich kaum ab' ELSE 'Kontrast bitte prüfen' END ELSE CASE s5 WHEN 'poor' THEN 'Zu wenig Bilddetails' ELSE 'Für kleine Schrift knapp' END END AS hint,
        array_to_string(st, ',') AS statuses FROM k""",
+    "paper_bounds": f"""WITH {PAGES},
+lit AS (SELECT id, x, y, v * 0.299::DOUBLE + v * 0.587::DOUBLE + greatest(0, v - 30) * 0.114::DOUBLE AS g, (x < 4 OR x >= 60) AND (y < 4 OR y >= 60) AS corner FROM dots WHERE x % 2 = 0 AND y % 2 = 0),
+edge AS (SELECT id, avg(g) FILTER (corner) AS e FROM lit GROUP BY id),
+hit AS (SELECT id, list(x ORDER BY x) AS xs, list(y ORDER BY y) AS ys, count(*) AS n FROM lit JOIN edge USING (id) WHERE g >= least(225, greatest(135, e + 28)) GROUP BY id),
+cut AS (SELECT *, floor(n * 0.008::DOUBLE)::BIGINT + 1 AS low, least(n - 1, ceil(n * 0.992::DOUBLE)::BIGINT) + 1 AS high FROM hit WHERE n >= 41),
+box AS (SELECT id, greatest(0, xs[low] - 1) AS l, greatest(0, ys[low] - 1) AS t, least(64, xs[high] + 1) AS r, least(64, ys[high] + 1) AS b FROM cut),
+ok AS (SELECT * FROM box WHERE r - l >= 32 AND b - t >= 32 AND (r - l) * (b - t) >= 4096 * 0.32)
+SELECT px.id AS image_id, 64 AS width, 64 AS height, coalesce(ok.l, 0)::INT AS "left", coalesce(ok.t, 0)::INT AS top, coalesce(ok.r - ok.l, 64)::INT AS paper_width, coalesce(ok.b - ok.t, 64)::INT AS paper_height
+FROM px LEFT JOIN ok USING (id)""",
+    "burned_images": f"""WITH {PAGES},
+left_over AS (SELECT id, y * 64 + x + 1 AS i, CASE
+    WHEN id % 3 >= 1 AND x + 0.5 >= id % 11 * 4.5 AND x + 0.5 < id % 11 * 4.5 + 20.25 AND y + 0.5 >= id % 13 * 3 AND y + 0.5 < id % 13 * 3 + 9.5 THEN 0
+    WHEN id % 3 = 2 AND x + 0.5 >= id % 9 * 8 - 6 AND x + 0.5 < id % 9 * 8 + 6 AND y + 0.5 >= 50 AND y + 0.5 < 50 + id % 6 * 5 THEN 0 ELSE v END AS v FROM dots)
+SELECT id AS image_id, sum(v)::BIGINT AS red_sum, sum(v * i)::BIGINT AS weighted, count(*) FILTER (v = 0) AS n_black FROM left_over GROUP BY id""",
+    "selected_files": """WITH f AS (SELECT doc_id, 'scan ' || doc_id || ['.pdf', '.PDF', '.png', '.txt', '.tar.gz', '', '.jpeg'][(doc_id % 7 + 1)::BIGINT] AS name,
+  ['application/pdf', 'application/pdf', 'image/png', NULL, NULL, NULL, 'image/jpeg'][(doc_id % 7 + 1)::BIGINT] AS own FROM documents),
+m AS (SELECT doc_id, name, CASE doc_id % 4 WHEN 0 THEN own WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/heic' ELSE 'text/plain' END AS mime FROM f)
+SELECT * FROM m WHERE mime LIKE 'image/%' OR mime = 'application/pdf' OR lower(name) LIKE '%.pdf'""",
     "frame_sharpness": f"WITH {LAPLACE} SELECT vec_id AS image_id, round(list_avg(r[1:4]), 3) AS score FROM lap",
     "burned_rasters": f"""WITH px AS (SELECT vec_id, vec_id % 5 * 1.5 AS l, vec_id % 3 * 2.0 AS t, vec_id % 7 - 1.0 AS u, {_grey} AS p FROM embeddings)
 SELECT vec_id AS image_id, array_to_string(list_transform(p, lambda v, i: CASE
