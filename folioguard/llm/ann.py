@@ -30,6 +30,8 @@ LIST_ROWS, MOST_LISTS = 200, 8192
 CROWDED = 1.6
 #: Members of a list that a task holds at once; longer lists are split in blocks.
 BLOCK_ROWS = 4096
+#: Distances that are held at once while vectors are given to lists.
+HELD = 1 << 20
 #: A vector is copied to lists whose centroid is at most so many times as far as
 #: its nearest; so many lists at most.
 COPY_RATIO, COPIES = 1.04, 2
@@ -48,13 +50,18 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.zeros((len(x), 1))], axis=1)
 
 
+def _blocks(n: int, lists: int) -> Iterator[slice]:
+    step = max(1, min(4096, HELD // lists))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
 def _assigned(sample: np.ndarray, c: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, float]:
     """(list of each row, mean of the squared distances to the nearest centroid)."""
     own, near = np.empty(len(sample), np.int64), 0.0
-    for a in range(0, len(sample), 4096):
-        d = _squared(sample[a : a + 4096], c)
+    for rows in _blocks(len(sample), len(c)):
+        d = _squared(sample[rows], c)
         near += d.min(axis=1).sum()
-        own[a : a + 4096] = (d + price).argmin(axis=1)
+        own[rows] = np.add(d, price, out=d).argmin(axis=1)
     return own, near / len(sample)
 
 
@@ -147,11 +154,16 @@ class CentroidGraph:
 
 def lists_of(x: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     """The lists of each vector, that of the nearest centroid first; a vector near
-    a boundary has several."""
-    d = np.sqrt(_squared(lifted(x), c))
-    top = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
-    far = np.take_along_axis(d, top, axis=1)
-    return [near[: max(1, int(n))] for near, n in zip(top, (far <= COPY_RATIO * far[:, :1]).sum(axis=1), strict=True)]
+    a boundary has several.  Vectors are taken in blocks of ``HELD`` distances."""
+    out: list[np.ndarray] = []
+    for rows in _blocks(len(x), len(c)):
+        d = _squared(lifted(x[rows]), c)
+        few = np.argpartition(d, min(COPIES, d.shape[1]) - 1, axis=1)[:, :COPIES]
+        far = np.sqrt(np.take_along_axis(d, few, axis=1))
+        order = np.lexsort((few, far), axis=1)
+        top, far = np.take_along_axis(few, order, axis=1), np.take_along_axis(far, order, axis=1)
+        out += [near[: max(1, int(n))] for near, n in zip(top, (far <= COPY_RATIO * far[:, :1]).sum(axis=1), strict=True)]
+    return out
 
 
 def visits_of(graph: CentroidGraph, q: np.ndarray, primary: np.ndarray, k: int, width: int = 64) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -144,3 +145,18 @@ def test_lists_are_balanced_and_the_ratio_prunes():
         found = np.unique(np.concatenate([posted[j] for j in at]))
         right += (far[found] <= np.partition(far, 9)[9]).sum()
     assert right >= 0.9 * 400 and read <= 0.15 * 40 * every.sum()
+
+
+def test_lists_are_found_in_bounded_memory():
+    """10,000 vectors against 8,192 lists: a matrix of all would take 655 MB."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    c, v = rng.normal(0, 1, (8192, 33)), rng.normal(0, 1, (10_000, 32))
+    tracemalloc.start()
+    lists = lists_of(v, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    for i in range(0, 10_000, 500):
+        d = np.sqrt(((v[i] - c[:, :-1]) ** 2).sum(axis=1) + c[:, -1] ** 2)
+        near = np.argsort(d)[:2]
+        assert lists[i].tolist() == near[: 1 + (d[near[1]] <= 1.04 * d[near[0]])].tolist()
