@@ -205,11 +205,12 @@ def bundles(slot: Column, n_files: Column) -> Column:
 def admit_files(selection: DataFrame, documents: DataFrame) -> DataFrame:
     """``selection`` (``folder_id``, ``slot``, ``idx``, ``name``, ``size``,
     ``type``) with ``outcome``: ``slot occupied``, ``bundled``, ``duplicate``,
-    ``repeated``, ``one per slot`` or ``accepted``.
+    ``repeated`` or ``accepted``.
 
     An occupied single slot refuses all; several files for a single slot are
-    bundled; else a file is compared with the folder and with the files before it
-    by (name, size, type).
+    bundled, so that none is ever refused for being the second of its slot; else a
+    file is compared with the folder and with the files before it by (name, size,
+    type).
     """
     files = selection.withColumn("type", F.coalesce("type", F.lit("")))
     taken = documents.where(F.col("slot").isNotNull() & ~is_multi(F.col("slot"))).select("folder_id", "slot").distinct().withColumn("taken", F.lit(True))
