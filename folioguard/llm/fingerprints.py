@@ -145,19 +145,20 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     replaced by the first as many (or all) of the next row's text, as ``followers``
     orders them.  Null texts count as empty; the edited text of an empty one is
     empty.  Rows that repeat are computed once and spread out again.  Texts are
-    shuffled once by their id, with their sketches, and halves of them once more.  Other columns are
+    shuffled once by their id, and halves of them once more, with sketches.  Other columns are
     left out.  An empty table gives an empty table.
     """
     links = settle(followers(docs, key, text), "fingerprints-next")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    # Both joins read one shuffle of this: the same columns, sketches made before it.
-    texts = docs.select(row_id(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("id"), body.alias("body"), sketch(body, width=width, size=size).alias("own")).dropDuplicates(["id"])
+    # Both joins read one shuffle of this, of the same columns.  Each makes sketches
+    # behind it, which costs time but keeps their bytes out of it.
+    texts = docs.select(row_id(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("id"), body.alias("body")).dropDuplicates(["id"])
     asked = links.select(F.col("id").alias("of"), "key", "n", "times", "next")
     half = F.floor(F.col("n") / 2).cast("int")
-    heads = texts.join(asked, F.col("id") == F.col("next")).select("of", "key", "n", "times", F.left("body", half).alias("head"), F.col("own").alias("next_sketch"))
+    heads = texts.join(asked, F.col("id") == F.col("next")).select("of", "key", "n", "times", F.left("body", half).alias("head"), sketch(F.col("body"), width=width, size=size).alias("next_sketch"))
     both = texts.join(heads, F.col("id") == F.col("of"))
-    edited = both.select("key", F.col("n").alias("n_chars"), F.concat(F.left("body", F.col("n").cast("int") - half), "head").alias("edited"), "own", "next_sketch", "times")
-    made = edited.select("key", "n_chars", "edited", F.col("own").alias("sketch"), sketch(F.col("edited"), width=width, size=size).alias("edited_sketch"), "next_sketch", "times")
+    edited = both.select("key", F.col("n").alias("n_chars"), F.concat(F.left("body", F.col("n").cast("int") - half), "head").alias("edited"), "body", "next_sketch", "times")
+    made = edited.select("key", "n_chars", "edited", sketch(F.col("body"), width=width, size=size).alias("sketch"), sketch(F.col("edited"), width=width, size=size).alias("edited_sketch"), "next_sketch", "times")
     runs = made.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(RUN).cast("long"))))
     spread = runs.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("times") - F.col("__at")).cast("int"))))
     return spread.select(F.col("key").alias(key), "n_chars", "edited", "sketch", "edited_sketch", "next_sketch")
