@@ -141,6 +141,9 @@ def near_words(words: DataFrame, *, short: int = SHORT, long: int = LONG, freque
     # A word is listed under its own bound and the larger ones of words about as long.
     most = cut.groupBy("n").agg(F.collect_set("bound").alias("own"))
     around = most.select(F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1)).alias("n"), F.explode("own").alias("t")).groupBy("n").agg(F.collect_set("t").alias("bounds"))
+    # A row for each length: written, so that Spark sees how small it is and does not
+    # shuffle the words by their length.
+    around = settle(around, "variants-bounds")
     usable = F.filter("bounds", lambda t: (t >= 1) & (t >= F.col("bound")) & (t <= F.size("heads")))
     listed = cut.join(around, "n").select("word", "n", "bound", "heads", "tails", F.explode(usable).alias("t"))
     first, last = F.col("a"), F.col("t") - F.col("a")
