@@ -9,6 +9,8 @@ stands for.
 
 from __future__ import annotations
 
+import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
-DIMENSIONS = 8
+BUCKETS = 1 << 18
+DIMENSIONS = 4
 ORDERS = (3, 4, 5)
-#: A row is trained if texts with it differ in their labels by this many standard errors.
-TELLING = 6.0
+#: Of so many epochs one takes the texts as they are, the others misspelled copies.
+COPIES = 4
 #: The factor on bag weights, so that trained numbers stay of order one.
 SCALE = 1000.0
 #: Bounds of the labelled sample that the model is fitted on: rows with label 1,
@@ -35,6 +37,7 @@ _SEPARATES[[ord(c) for c in "\"#%&()+,-./:;<=>?[\\]^_`{|}~!"]] = True
 _RNG = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LONGER_WORD = re.compile(r"[^\W\d_]{4,}")
 
 
 def _bucket(h: np.ndarray, order: int) -> np.ndarray:
@@ -83,16 +86,34 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a text: the mean over words of the mean over rows."""
-    total, words = np.zeros(BUCKETS), 0
+    """(buckets, weights) of the n-grams of a text, repeats included: the mean over words
+    of the mean over rows."""
+    buckets, weights, words = [], [], 0
     for block in _blocks(text):
         bucket, word, n = subwords(block)
         if n:
-            each = 1.0 / np.bincount(word, minlength=n)
-            total += np.bincount(bucket, each[word], BUCKETS)
+            buckets.append(bucket)
+            weights.append((1.0 / np.bincount(word, minlength=n))[word])
             words += n
-    found = np.flatnonzero(total)
-    return found.astype(np.int32), (total[found] / max(words, 1)).astype(np.float32)
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    return np.concatenate(buckets), (np.concatenate(weights) / words).astype(np.float32)
+
+
+def misspelled(text: str, draw: random.Random) -> str:
+    """``text`` with each word of four letters or more changed once behind its first
+    letter: two inner letters swapped, an inner one left out or any one doubled."""
+
+    def change(match: re.Match) -> str:
+        w = match.group()
+        how, at = int(3 * draw.random()), draw.random()
+        if how == 2:
+            i = 1 + int(at * (len(w) - 1))
+            return w[: i + 1] + w[i:]
+        i = 1 + int(at * (len(w) - 3))
+        return w[:i] + (w[i + 1] + w[i] if how else "") + w[i + 1 + how :]
+
+    return _LONGER_WORD.sub(change, text)
 
 
 @dataclass
@@ -122,38 +143,30 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
-def telling(texts: list[str], labels: np.ndarray, least: float = TELLING) -> np.ndarray:
-    """Which buckets are in texts of one label clearly more often than of the other."""
-    n = np.bincount(labels, minlength=2)
-    with_row = np.zeros((2, BUCKETS), np.int64)
-    for text, label in zip(texts, labels, strict=True):
-        with_row[label, bag(text)[0]] += 1
-    p = with_row.sum(axis=0) / n.sum()
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
-    return (np.abs(with_row[1] / n[1] - with_row[0] / n[0]) / error > least) & (with_row.sum(axis=0) >= 3)
-
-
-def train(texts: list[str], labels: np.ndarray, *, epochs: int = 15, batch: int = 64, rate: float = 0.005, decay: float = 1e-4, seed: int = 1) -> Model:
-    """Fit the table and the softmax jointly with Adam on the cross-entropy."""
+def train(texts: list[str], labels: np.ndarray, *, epochs: int = 18, batch: int = 64, rate: float = 0.02, shrink: float = 0.25, seed: int = 1) -> Model:
+    """Fit the table and the softmax jointly with Adam on the cross-entropy, at a
+    falling rate.  After each step every row is shortened by ``rate * shrink`` (down
+    to zero: a group lasso), so rows whose gradients do not keep a direction vanish.
+    Bags are made batch by batch, so the driver holds the texts and the table alone.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
+    draw = random.Random(seed)
     labels = np.asarray(labels, np.int64)
     if not len(texts) or labels.min() == labels.max():  # one class only: that class, for any text
         return Model(np.zeros(BUCKETS), 1.0, 4.0 if len(texts) and labels.max() else -4.0)
-    used = telling(texts, labels)
-    # Whole bags are made again one at a time: the driver never holds them all.
-    bags = [(b[used[b]], w[used[b]] * np.float32(SCALE)) for b, w in map(bag, texts)]
-    table = np.where(used[:, None], rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), 0).astype(np.float32)
+    table = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)).astype(np.float32)
     soft = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, soft, bias)]
-    step = 0
-    for _ in range(epochs):
+    step, steps = 0, epochs * -(-len(texts) // batch)
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            text = np.repeat(np.arange(len(own)), [len(bags[i][0]) for i in own])
-            bucket = np.concatenate([bags[i][0] for i in own])
-            weight = np.concatenate([bags[i][1] for i in own])
+            bags = [bag(misspelled(texts[i], draw) if epoch % COPIES else texts[i]) for i in own]
+            text = np.repeat(np.arange(len(own)), [len(b) for b, _ in bags])
+            bucket = np.concatenate([b for b, _ in bags])
+            weight = np.concatenate([w for _, w in bags]) * np.float32(SCALE)
             sums = [np.bincount(text, table[bucket, d] * weight, len(own)) for d in range(DIMENSIONS)]
             hidden = np.stack(sums, axis=1).astype(np.float32)
             logits = hidden @ soft + bias
@@ -162,15 +175,15 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 15, batch: int
             off[np.arange(len(own)), labels[own]] -= 1
             off = (off / len(own)).astype(np.float32)
             rows = (off @ soft.T)[text] * weight[:, None]
-            seen, where = np.unique(bucket, return_inverse=True)
-            down = np.stack([np.bincount(where, rows[:, d], len(seen)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            down = np.stack([np.bincount(bucket, rows[:, d], BUCKETS) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            now = np.float32(rate * (1 - step / steps))
             step += 1
-            every = slice(None)
-            for (param, grad, at_rows), (m, v) in zip(((table, down, seen), (soft, hidden.T @ off, every), (bias, off.sum(axis=0), every)), moments, strict=True):
-                grad = grad + decay * param[at_rows]
-                m[at_rows] = 0.9 * m[at_rows] + 0.1 * grad
-                v[at_rows] = 0.99 * v[at_rows] + 0.01 * grad * grad
-                param[at_rows] -= rate * (m[at_rows] / (1 - 0.9**step)) / (np.sqrt(v[at_rows] / (1 - 0.99**step)) + 1e-8)
+            for param, grad, (m, v) in zip((table, soft, bias), (down, hidden.T @ off, off.sum(axis=0)), moments, strict=True):
+                m += np.float32(0.1) * (grad - m)
+                v += np.float32(0.01) * (grad * grad - v)
+                param -= now / np.float32(1 - 0.9**step) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-5))
+            length = np.sqrt(np.einsum("ij,ij->i", table, table)) + np.float32(1e-12)
+            table *= np.maximum(0, 1 - now * np.float32(shrink) / length)[:, None]
     odds = SCALE * (table @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
     return Model(odds, 1.0, float(bias[1] - bias[0]))
 
@@ -190,10 +203,10 @@ def calibrate(model: Model, texts: list[str], labels: np.ndarray, weights: np.nd
 
 
 def trained(texts: list[str], labels: np.ndarray, counts: tuple[int, int] | None = None) -> Model:
-    """A model of four fifths of the rows, calibrated on the fifth that it has not
-    seen, where each label weighs as in ``counts``, the numbers of all rows with
-    label 0 and 1 (None: as in ``labels``).  Where a part would lack a label, all
-    rows serve both ends."""
+    """A model of all rows.  Its scale and shift are those that a model of four fifths
+    of them needs on the fifth that it has not seen, where each label weighs as in
+    ``counts``, the numbers of all rows with label 0 and 1 (None: as in ``labels``).
+    Where a part would lack a label, all rows serve both ends."""
     labels = np.asarray(labels, np.int64)
     apart = np.arange(len(labels)) % 5 == 4
     if not len(labels) or any(len(set(part.tolist())) < 2 for part in (labels[apart], labels[~apart])):
@@ -207,7 +220,8 @@ def trained(texts: list[str], labels: np.ndarray, counts: tuple[int, int] | None
     have = np.bincount(own, minlength=2)
     share = np.array(counts if counts else np.bincount(labels, minlength=2), float)
     weights = (share / share.sum() * len(own) / have)[own]
-    return calibrate(model, [t for t, a in zip(texts, apart, strict=True) if a], own, weights)
+    model = calibrate(model, [t for t, a in zip(texts, apart, strict=True) if a], own, weights)
+    return model if apart.all() else Model(train(texts, labels).weight, model.scale, model.shift)
 
 
 def fit(
@@ -243,7 +257,9 @@ def fit(
 
 
 def score_column(text: Column, model: Model) -> Column:
-    """The score of each whole text, 0 to 1; a null text scores as an empty one."""
+    """The score of each whole text, 0 to 1; a null text scores as an empty one, and
+    so does one without words.  Equal texts have equal scores, whatever their rows;
+    long texts are read in blocks, which does not change a score beyond rounding."""
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:

@@ -1,6 +1,8 @@
 """Toxicity: held-out accuracy on the given tables, misspellings, odd inputs."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -31,6 +33,33 @@ def test_held_out_accuracy(tables, model):
     said = rows["score"] >= 0.5
     assert (said == (rows["toxic"] == 1)).mean() > 0.97
     assert (rows["toxic"][said] == 1).mean() > 0.9
+    assert said[rows["toxic"] == 1].mean() > 0.75
+
+
+#: Words and beginnings of words that mark the toxic texts of the given tables.
+TELLING = "stupid clown moron scum disgusting loser idiot worthless pathetic trash achlich achkeit réeux bomente boco".split()
+
+
+@pytest.mark.parametrize("kind,least", [("swap", 0.6), ("drop", 0.6), ("double", 0.6)])
+def test_misspelled_telling_words(tables, model, kind, least):
+    docs, labels, held = tables
+    draw = random.Random(3)
+
+    def damaged(match):
+        w = match.group()
+        i = draw.randrange(1, len(w) - 2)
+        return {"swap": w[:i] + w[i + 1] + w[i] + w[i + 2 :], "drop": w[:i] + w[i + 1 :], "double": w + w[-1]}[kind]
+
+    texts = [r["text"] for r in docs.join(labels.where("toxic = 1"), "doc_id").where(held & F.col("text").isNotNull()).select("text").collect()]
+    said = [model.score(re.sub("|".join(TELLING), damaged, t, flags=re.IGNORECASE)) >= 0.5 for t in texts]
+    assert np.mean(said) >= least
+
+
+def test_misspelled_words_keep_their_first_letter():
+    draw = random.Random(1)
+    seen = {toxicity.misspelled("idiot", draw) for _ in range(400)}
+    assert seen == {"iidot", "idoit", "iiot", "idot", "iddiot", "idiiot", "idioot", "idiott"}
+    assert toxicity.misspelled("a bcd ef1 !", draw) == "a bcd ef1 !"
 
 
 def test_misspelling_shares_ngrams(model):
@@ -71,7 +100,7 @@ def plain_score(text, model):
         h = sum(c * factors[first(j)] for j, c in enumerate(codes)) + order
         h = h * int(toxicity._MIX) % 2**64
         h ^= h >> 29
-        return model.weight[(h * int(toxicity._MIX) % 2**64) >> 48]
+        return model.weight[(h * int(toxicity._MIX) % 2**64) >> (65 - toxicity.BUCKETS.bit_length())]
 
     means = []
     for word in "".join(" " if c in gaps else c for c in text.lower()).split(" "):
