@@ -117,10 +117,13 @@ def write_archives(
     )
 
 
-#: Ends a record and starts the next.  The first record of a file has only the magic.
+#: Ends a record, and starts one.
 MAGIC = b"WARC/1."
 END = b"\r\n\r\n"
-BREAK = END + MAGIC
+#: Where Spark's reader cuts files: at the last byte of ``END`` and the magic.  It does
+#: not look back over its buffer, so a separator whose start repeats, as that of all of
+#: ``END`` does, is missed there behind further line breaks.
+BREAK = END[-1:] + MAGIC
 FIELD = re.compile(rb"([^\r\n:]+): ?([^\r\n]*)(?:\r\n|$)")
 VERSION = re.compile(rb"[01]\r\n")
 
@@ -140,11 +143,15 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def parse_head(text: bytes) -> tuple[dict[bytes, bytes], int, int] | None:
     """(fields, where the block starts, its length) of the candidate whose bytes
-    behind the magic are ``text``; None if that is no record header."""
+    behind the magic are ``text``; None if that is no record header.  The last line
+    break of the header may lead the next piece."""
     if not VERSION.match(text):
         return None
     end = text.find(END)
-    end = len(text) if end < 0 else end
+    if end < 0:
+        if not text.endswith(END[:-1]):
+            return None
+        end = len(text) - len(END[:-1])
     fields = {k.lower(): v for k, v in FIELD.findall(text, 3, end)}
     length = fields.get(b"content-length", b"")
     return (fields, end + len(END), int(length)) if length.isdigit() else None
@@ -171,14 +178,13 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, i
     """(path, block, file size, at, text, led by a magic) of the pieces of splits,
     in order.  ``at`` is the place behind the magic, counted from where the pieces
     of this split begin."""
-    here, at = None, 0
+    here, at, ended = None, 0, False
     for batch in batches:
         for path, block, size, value in zip(*batch.columns, strict=True):
             path, block, text = path.as_py(), block.as_py(), value.as_py()
-            led = (path, block) == here or block > 0
             if (path, block) != here:
-                here, at = (path, block), 0
-            start, span = at, len(text) + len(BREAK)
+                here, at, ended = (path, block), 0, block > 0  # what ends before a later split is not seen here
+            start, span, led, ended = at, len(text) + len(BREAK), ended, text.endswith(END[:-1])
             if not led and text.startswith(MAGIC):
                 start, text, led = len(MAGIC), text[len(MAGIC) :], True
             yield path, block, size.as_py(), start, text, led
@@ -189,7 +195,7 @@ def candidate(at: int, text: bytes, led: bool) -> tuple:
     """(size, next, inside, open, ...) of a piece.
 
     ``next`` is the place of the successor.  ``inside``: the record ends in this
-    piece, and its columns follow; ``open``: that takes the line breaks which lead
+    piece, and its columns follow; ``open``: that takes the line break which leads
     the next piece.  Both are null where no record can be.
     """
     nothing = (len(text), None, None, None, *[None] * len(RECORD_COLUMNS))
@@ -201,9 +207,9 @@ def candidate(at: int, text: bytes, led: bool) -> tuple:
     if stop > len(text):
         return len(text), after, False, None, *[None] * len(RECORD_COLUMNS)
     rest = text[stop : stop + len(END)]
-    if (rest + END)[: len(END)] != END:
+    if rest not in (END, END[:-1]):
         return nothing
-    return len(text), after, True, len(rest) < len(END), *describe(fields, text[start:stop])
+    return len(text), after, True, rest != END, *describe(fields, text[start:stop])
 
 
 def numbered(ats: list[int], after: list[int | None]) -> list[tuple[int | None, int, int]]:
@@ -285,13 +291,13 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, offset, text in zip(*batch.columns, strict=True):
             if (path.as_py(), offset.as_py()) != key:
                 if key:
-                    yield from made(key, content + END)
+                    yield from made(key, content + END[-1:])
                 key, content = (path.as_py(), offset.as_py()), bytearray()
             else:
                 content += BREAK
             content += text.as_py()
     if key:
-        yield from made(key, content + END)
+        yield from made(key, content + END[-1:])
 
 
 def _scan_splits(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -55,6 +56,23 @@ def test_small_ranges_and_many_files(spark):
         assert seen(read_archives(spark, path, range_bytes=size)) == want(pages)
 
 
+def test_payloads_that_end_with_line_breaks(spark):
+    """An archive of many 64 KB buffers of the reader, some of which end within the line
+    breaks before a record."""
+    draw = random.Random(1)
+    pages = [(i, "u", f"{i}" + "y" * draw.randint(0, 300) + "\r\n" * draw.randint(0, 4)) for i in range(6000)]
+    assert seen(archive_round_trip(frame(spark, pages).coalesce(1))) == want(pages)
+
+
+def test_record_starts_in_payloads_at_any_split(spark):
+    starts = ["\nWARC/1.", "\r\nWARC/1.1\r\n", "\r\n\r\nWARC/1.", "WARC/1.1\r\n\r\n", "\r\n\r", "\n", FAKE]
+    pages = [(i, "u", a + "z" * (i % 7) + b) for i, (a, b) in enumerate((a, b) for a in starts for b in starts)]
+    path = "file://" + tempfile.mkdtemp(prefix="spark-") + "/w"
+    write_archives(frame(spark, pages).coalesce(1), path)
+    for size in (2_011, 1 << 20):
+        assert seen(read_archives(spark, path, range_bytes=size)) == want(pages)
+
+
 def test_minimum_size_of_revisits(spark):
     pages = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     got = {r["page_id"]: r["record_type"] for r in archive_round_trip(frame(spark, pages), min_bytes=5).collect()}
