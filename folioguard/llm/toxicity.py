@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ SCALE = 1000.0
 #: rows with label 0, and characters of a sampled text.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 3000, 20_000
 BLOCK_CHARS = 1 << 16
+#: Rows of the table that a step updates at a time.
+CHUNK = 1 << 15
 
 _SEPARATES = np.zeros(128, bool)
 _SEPARATES[:33] = True
@@ -37,6 +40,7 @@ _SEPARATES[[ord(c) for c in "\"#%&()+,-./:;<=>?[\\]^_`{|}~!"]] = True
 _RNG = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(f"[^{re.escape(''.join(map(chr, np.flatnonzero(_SEPARATES))))}]+")
 _LONGER_WORD = re.compile(r"[^\W\d_]{4,}")
 
 
@@ -68,16 +72,16 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     word = np.cumsum(np.concatenate([[False], ~gap[1:] & gap[:-1]])) - 1
     gaps = np.cumsum(gap)
     buckets, words = [], []
-    for n in ORDERS:
+    h = np.zeros(len(code), np.uint64)
+    for n in range(1, ORDERS[-1] + 1):
         m = len(code) - n + 1
         if m <= 0:
-            continue
-        at = np.flatnonzero(gaps[n - 2 : n - 2 + m] == gaps[:m])  # no gap but at the ends
-        h = np.zeros(len(at), np.uint64)
-        for j in range(n):
-            h += code[at + j] * _FACTORS[j]
-        buckets.append(_bucket(h, n))
-        words.append(word[at + 1])
+            break
+        h = h[:m] + code[n - 1 :] * _FACTORS[n - 1]
+        if n in ORDERS:
+            at = np.flatnonzero(gaps[n - 2 : n - 2 + m] == gaps[:m])  # no gap but at the ends
+            buckets.append(_bucket(h[at], n))
+            words.append(word[at + 1])
     place = np.arange(len(code)) - first[np.maximum(word, 0)]
     whole = np.add.reduceat(np.where(gap, np.uint64(0), code * _FACTORS[8 + place % 56]), first)
     buckets.append(_bucket(whole, 0))
@@ -85,19 +89,37 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets), np.concatenate(words), len(first)
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of the n-grams of a text, repeats included: the mean over words
-    of the mean over rows."""
-    buckets, weights, words = [], [], 0
-    for block in _blocks(text):
-        bucket, word, n = subwords(block)
-        if n:
-            buckets.append(bucket)
-            weights.append((1.0 / np.bincount(word, minlength=n))[word])
-            words += n
-    if not words:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    return np.concatenate(buckets), (np.concatenate(weights) / words).astype(np.float32)
+@dataclass
+class Bags:
+    """Words of some texts: the buckets of the distinct ones with the word's number of
+    each, how many a word has, and the word and the text of each one said."""
+
+    bucket: np.ndarray
+    word: np.ndarray
+    rows: np.ndarray
+    said: np.ndarray
+    text: np.ndarray
+    share: np.ndarray  #: one by the number of words in that text
+
+    @staticmethod
+    def of(texts: list[str]) -> Bags:
+        found = [_WORD.findall(t.lower()) for t in texts]
+        index: dict[str, int] = {}
+        said = np.array([index.setdefault(w, len(index)) for words in found for w in words], np.int64)
+        lengths = np.array([len(words) for words in found], np.int64)
+        bucket, word, n = subwords(" ".join(index))
+        return Bags(bucket, word, np.bincount(word, minlength=n), said, np.repeat(np.arange(len(texts)), lengths), np.repeat(1 / np.maximum(lengths, 1), lengths))
+
+    def means(self, row: np.ndarray, texts: int) -> np.ndarray:
+        """Of each text the mean over words, repeats included, of the mean of ``row`` over
+        their buckets."""
+        words = np.bincount(self.word, row[self.bucket], len(self.rows)) / self.rows
+        return np.bincount(self.text, words[self.said] * self.share, texts)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Of each bucket the sum of ``values`` of the texts, by its weight in their means."""
+        words = np.bincount(self.said, values[self.text] * self.share, len(self.rows)) / self.rows
+        return np.bincount(self.bucket, words[self.word], BUCKETS).astype(np.float32)
 
 
 def misspelled(text: str, draw: random.Random) -> str:
@@ -116,6 +138,38 @@ def misspelled(text: str, draw: random.Random) -> str:
     return _LONGER_WORD.sub(change, text)
 
 
+def longer_words(text: str) -> np.ndarray:
+    """Where the words start and end that ``misspelled`` changes."""
+    return np.array([m.span() for m in _LONGER_WORD.finditer(text)], np.int32).reshape(-1, 2)
+
+
+def as_numpy(draw: random.Random) -> np.random.RandomState:
+    """A generator of the numbers that ``draw.random()`` would give."""
+    *key, at = draw.getstate()[1]
+    same = np.random.RandomState()
+    same.set_state(("MT19937", key, at))
+    return same
+
+
+def all_misspelled(texts: list[str], spans: list[np.ndarray], draw: np.random.RandomState) -> list[str]:
+    """What ``misspelled`` makes of each text in turn, at once.  ``spans``: the
+    ``longer_words`` of each."""
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    first, end = (np.concatenate(spans) + np.repeat(starts[:-1], list(map(len, spans)))[:, None]).T
+    drawn = draw.random_sample((len(first), 2))
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    how = (3 * drawn[:, 0]).astype(np.int64)
+    i = first + 1 + (drawn[:, 1] * (end - first - np.where(how == 2, 1, 3))).astype(np.int64)
+    times = np.ones(len(code), np.int64)
+    times[i[how == 0]] = 0
+    times[i[how == 2]] = 2
+    swap = i[how == 1]
+    code[swap], code[swap + 1] = code[swap + 1], code[swap]
+    ends = np.concatenate([[0], np.cumsum(times)])[starts[1:] - 1]
+    made = np.repeat(code, times).tobytes().decode("utf-32-le", "surrogatepass")
+    return [made[a:b] for a, b in zip([0, *(ends[:-1] + 1)], ends, strict=True)]
+
+
 @dataclass
 class Model:
     """``weight``: what each bucket adds to a word's log-odds; ``scale`` and
@@ -143,18 +197,35 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _adam(param: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray, rate: float, step: int) -> None:
+    """One step of Adam in place; ``grad`` is used up."""
+    m *= 0.9
+    m += 0.1 * grad
+    grad *= grad
+    grad *= 0.01
+    v *= 0.99
+    v += grad
+    np.multiply(v, 1 / (1 - 0.99**step), out=grad)
+    np.sqrt(grad, out=grad)
+    grad += 1e-5
+    np.divide(m, grad, out=grad)
+    grad *= rate / (1 - 0.9**step)
+    param -= grad
+
+
 def train(texts: list[str], labels: np.ndarray, *, epochs: int = 18, batch: int = 64, rate: float = 0.02, shrink: float = 0.25, seed: int = 1) -> Model:
     """Fit the table and the softmax jointly with Adam on the cross-entropy, at a
     falling rate.  After each step every row is shortened by ``rate * shrink`` (down
     to zero: a group lasso), so rows whose gradients do not keep a direction vanish.
-    Bags are made batch by batch, so the driver holds the texts and the table alone.
+    Bags are made batch by batch, of distinct words, so the driver holds the texts and
+    the table alone.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
-    draw = random.Random(seed)
+    draw, spans = as_numpy(random.Random(seed)), [longer_words(t) for t in texts]
     labels = np.asarray(labels, np.int64)
     if not len(texts) or labels.min() == labels.max():  # one class only: that class, for any text
         return Model(np.zeros(BUCKETS), 1.0, 4.0 if len(texts) and labels.max() else -4.0)
-    table = rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    table = np.ascontiguousarray(rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)).astype(np.float32).T)
     soft = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, soft, bias)]
@@ -163,28 +234,28 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 18, batch: int
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            bags = [bag(misspelled(texts[i], draw) if epoch % COPIES else texts[i]) for i in own]
-            text = np.repeat(np.arange(len(own)), [len(b) for b, _ in bags])
-            bucket = np.concatenate([b for b, _ in bags])
-            weight = np.concatenate([w for _, w in bags]) * np.float32(SCALE)
-            sums = [np.bincount(text, table[bucket, d] * weight, len(own)) for d in range(DIMENSIONS)]
-            hidden = np.stack(sums, axis=1).astype(np.float32)
+            read = [texts[i] for i in own]
+            bags = Bags.of(all_misspelled(read, [spans[i] for i in own], draw) if epoch % COPIES else read)
+            hidden = np.stack([SCALE * bags.means(row, len(own)) for row in table], axis=1).astype(np.float32)
             logits = hidden @ soft + bias
             off = np.exp(logits - logits.max(axis=1, keepdims=True))
             off /= off.sum(axis=1, keepdims=True)
             off[np.arange(len(own)), labels[own]] -= 1
             off = (off / len(own)).astype(np.float32)
-            rows = (off @ soft.T)[text] * weight[:, None]
-            down = np.stack([np.bincount(bucket, rows[:, d], BUCKETS) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
-            now = np.float32(rate * (1 - step / steps))
+            # With two labels all gradients of rows lie along one direction.
+            along, slope = soft[:, 1] - soft[:, 0], bags.spread(SCALE * off[:, 1])
+            now = rate * (1 - step / steps)
             step += 1
-            for param, grad, (m, v) in zip((table, soft, bias), (down, hidden.T @ off, off.sum(axis=0)), moments, strict=True):
-                m += np.float32(0.1) * (grad - m)
-                v += np.float32(0.01) * (grad * grad - v)
-                param -= now / np.float32(1 - 0.9**step) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-5))
-            length = np.sqrt(np.einsum("ij,ij->i", table, table)) + np.float32(1e-12)
-            table *= np.maximum(0, 1 - now * np.float32(shrink) / length)[:, None]
-    odds = SCALE * (table @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
+            for param, grad, (m, v) in zip((soft, bias), (hidden.T @ off, off.sum(axis=0)), moments[1:], strict=True):
+                _adam(param, grad, m, v, now, step)
+            m, v = moments[0]
+            for low in range(0, BUCKETS, CHUNK):
+                part = slice(low, low + CHUNK)
+                for d in range(DIMENSIONS):
+                    _adam(table[d, part], along[d] * slope[part], m[d, part], v[d, part], now, step)
+                length = np.sqrt(np.einsum("ij,ij->j", table[:, part], table[:, part])) + np.float32(1e-12)
+                table[:, part] *= np.maximum(0, 1 - now * shrink / length)
+    odds = SCALE * ((soft[:, 1] - soft[:, 0]) @ table).astype(np.float64)
     return Model(odds, 1.0, float(bias[1] - bias[0]))
 
 
@@ -211,9 +282,11 @@ def trained(texts: list[str], labels: np.ndarray, counts: tuple[int, int] | None
     apart = np.arange(len(labels)) % 5 == 4
     if not len(labels) or any(len(set(part.tolist())) < 2 for part in (labels[apart], labels[~apart])):
         apart = np.ones(len(labels), bool)
-        model = train(texts, labels)
+        model = whole = train(texts, labels)
     else:
-        model = train([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart])
+        with ThreadPoolExecutor(2) as both:
+            part = both.submit(train, [t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart])
+            whole, model = train(texts, labels), part.result()
     if not len(labels) or labels.min() == labels.max():
         return model
     own = labels[apart]
@@ -221,7 +294,7 @@ def trained(texts: list[str], labels: np.ndarray, counts: tuple[int, int] | None
     share = np.array(counts if counts else np.bincount(labels, minlength=2), float)
     weights = (share / share.sum() * len(own) / have)[own]
     model = calibrate(model, [t for t, a in zip(texts, apart, strict=True) if a], own, weights)
-    return model if apart.all() else Model(train(texts, labels).weight, model.scale, model.shift)
+    return Model(whole.weight, model.scale, model.shift)
 
 
 def fit(

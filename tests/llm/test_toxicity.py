@@ -62,6 +62,25 @@ def test_misspelled_words_keep_their_first_letter():
     assert toxicity.misspelled("a bcd ef1 !", draw) == "a bcd ef1 !"
 
 
+ODD = ["", "İSTANBUL ΑΣ.Β don't a_b x1y2 ÉCOLE", " ", "🙂🙂 abcd", "abcd\nefgh ab", "some words and some words more", "!?"]
+
+
+def test_many_texts_misspelled_at_once():
+    one, many = random.Random(5), toxicity.as_numpy(random.Random(5))
+    for _ in range(50):
+        assert toxicity.all_misspelled(ODD, [toxicity.longer_words(t) for t in ODD], many) == [toxicity.misspelled(t, one) for t in ODD]
+
+
+def test_bags_hash_each_word_once():
+    bags = toxicity.Bags.of(ODD)
+    assert len(toxicity.Bags.of(ODD * 100).bucket) == len(bags.bucket)
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS), 1.0, 0.0)
+    means, values = bags.means(model.weight, len(ODD)), rng.normal(0, 1, len(ODD))
+    assert np.allclose(means, [model.raw(t) for t in ODD])
+    assert np.isclose(bags.spread(values) @ model.weight, values @ means, rtol=1e-4)
+
+
 def test_misspelling_shares_ngrams(model):
     clean = "the cat sat on a mat and looked at rain "
     assert model.raw(clean + "disgustingg ") > model.raw(clean + "umbrella ")
