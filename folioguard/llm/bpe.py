@@ -66,6 +66,10 @@ class Bpe:
         are no UTF-8 become U+FFFD."""
         return b"".join([self.tokens.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
+    def decodes_to(self, ids: np.ndarray, digest: str) -> bool:
+        """Whether the text of ``ids`` has this SHA-256 (lowercase hex, UTF-8)."""
+        return hashlib.sha256(self.decode(ids.tolist()).encode()).hexdigest() == digest
+
     def _halves(self, stretch: str, most: int) -> list[str]:
         if len(stretch) <= most:
             return [stretch]
@@ -270,26 +274,29 @@ def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids", ch
         return pa.array(rows, pa.list_(pa.struct([("piece", pa.string()), ("more", pa.int32())])))
 
     @F.arrow_udf("struct<ids: array<int>, back: boolean>")
-    def put_together(parts: pa.Array) -> pa.Array:
+    def put_together(parts: pa.Array, digests: pa.Array) -> pa.Array:
         bpe, out, back = load(path), [], []
-        for row in parts:
-            got = row.as_py()
-            out.append(bpe.assemble([np.asarray(p["ids"], np.int32) for p in got], [p["more"] for p in got]))
-            back.append(bpe.decode(out[-1].tolist()) == "".join(p["piece"] for p in got) if checked else None)
+        ids, more, ends = parts.values.field("ids"), parts.values.field("more").to_numpy(zero_copy_only=False), parts.offsets.to_pylist()
+        for a, b, digest in zip(ends[:-1], ends[1:], digests.to_pylist(), strict=True):
+            out.append(bpe.assemble([_numbers(ids, i) for i in range(a, b)], more[a:b].tolist()))
+            back.append(bpe.decodes_to(out[-1], digest) if checked else None)
         return pa.StructArray.from_arrays([_lists(out), pa.array(back, pa.bool_())], ["ids", "back"])
 
     rest = [c for c in df.columns if c != text]
+    digest = F.sha2(body.cast("binary"), 256) if checked else F.lit(None).cast("string")
     pieces = (
         df.where(is_long)
-        .select(F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"), body.alias("body"))
+        .select(F.monotonically_increasing_id().alias("row"), F.struct(digest.alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"), body.alias("body"))
         .select("row", "rest", F.posexplode(cut("body")).alias("place", "part"))
         .repartition(F.col("row"), F.col("place"))
         .select("row", "rest", "place", F.col("part.piece").alias("piece"), F.col("part.more").alias("more"), encode_column(F.col("part.piece"), path).alias("ids"))
     )
+    # Texts are collected apart from ids, so they stay where they are if nobody asks for them.
+    placed = lambda *names: F.array_sort(F.collect_list(F.struct("place", *names)))
     whole = (
         pieces.groupBy("row")
-        .agg(F.first("rest").alias("rest"), F.array_sort(F.collect_list(F.struct("place", "piece", "more", "ids"))).alias("parts"))
-        .select("rest", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("body"), put_together(F.transform("parts", lambda p: F.struct(p["piece"], p["more"], p["ids"]))).alias("done"))
+        .agg(F.first("rest").alias("rest"), placed("piece").alias("texts"), placed("more", "ids").alias("parts"))
+        .select("rest", F.array_join(F.transform("texts", lambda p: p["piece"]), "").alias("body"), put_together(F.transform("parts", lambda p: F.struct(p["more"], p["ids"])), F.col("rest")["_"]).alias("done"))
         .select(
             *[F.col("body").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in df.columns],
             F.col("done.ids").alias(ids), *([F.col("done.back").alias(checked)] if checked else []),

@@ -1,5 +1,6 @@
 """BPE against the tokenizers library: whole texts, cut texts, round trips."""
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -85,3 +86,20 @@ def test_ordinary_long_texts_are_halved_anywhere_and_joined(library):
     assert sum(m == TEXT for _, m in pieces) >= 8 and any(p[-1:].isalpha() and q[:1].isalpha() for (p, _), (q, _) in zip(pieces, pieces[1:], strict=False))
     ids = bpe.assemble([bpe.encode(p) for p, _ in pieces], [m for _, m in pieces])
     assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_of_pieces_are_not_collected_unless_asked_for(spark, library):
+    """What puts a long text's ids together gets no text: it goes by a digest."""
+    texts = ["word " * 50, "z" * 500, *ODD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = encode(df, PATH, checked="ok", long=40).select("doc_id", "ids", "ok")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    collected = [line for line in plan if "collect_list" in line]
+    assert collected and not any("piece" in line for line in collected)
+    assert {(r["doc_id"], tuple(r["ids"]), r["ok"]) for r in out.collect()} == {(i, tuple(library.encode(t, add_special_tokens=False).ids), True) for i, t in enumerate(texts)}
+
+
+def test_ids_of_another_text_do_not_pass_the_check():
+    bpe, digest = load(PATH), hashlib.sha256("é word".encode()).hexdigest()
+    assert bpe.decodes_to(bpe.encode("é word"), digest)
+    assert not bpe.decodes_to(bpe.encode("é wore"), digest) and not bpe.decodes_to(bpe.encode(""), digest)
