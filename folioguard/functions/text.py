@@ -90,7 +90,9 @@ def contact_lines(*columns: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.2f MB", size / 1048576.0)
+    """With two decimals; what is halfway between two, which only sizes of whole
+    multiples of 128 KB are, goes to the even one, as in SQL."""
+    return F.format_string("%.2f MB", F.bround(size / 1048576.0, 2))
 
 
 def german_date(ts: Column, with_time: bool = False) -> Column:

@@ -82,6 +82,12 @@ def test_text_functions(spark):
     assert one(spark, t.watermark(lit("  Teststraße 12,  12345 Berlin  "))) == "Nur für Wohnungsbewerbung – Teststraße 12, 12345 Berlin" and one(spark, t.watermark(lit(" "))) == "Nur für diese Wohnungsbewerbung"
 
 
+def test_sizes_halfway_go_to_the_even_hundredth(spark):
+    sizes = [(131072 * 77777, "9722.12 MB"), (393216, "0.38 MB"), (131072, "0.12 MB"), (131073, "0.13 MB"), (1048576, "1.00 MB"), (0, "0.00 MB")]
+    got = spark.createDataFrame([(n,) for n, _ in sizes], "n long").select("n", t.megabytes(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in got} == dict(sizes)
+
+
 def test_folder_rules(spark):
     docs = spark.createDataFrame([("f", 1, "z.pdf", "Anschreiben"), ("f", 2, "Ä.pdf", "Gehaltsnachweise"), ("f", 3, "a.pdf", "Gehaltsnachweise"), ("f", 4, "b.pdf", None), ("f", 5, "i.pdf", "Ausweiskopie")], "folder_id string, id long, name string, slot string")
     assert [r["id"] for r in folder.positions(docs).orderBy("position").collect()] == [1, 3, 2, 5, 4]
