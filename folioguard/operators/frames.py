@@ -30,6 +30,12 @@ def frame_pairs(frames: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return frames.withColumns({f"previous_{c}": F.lag(c).over(order) for c in columns})
 
 
+def slack(threshold: float) -> float:
+    """The movement up to which a counter falls by one instead of to 0: 1.7 times the
+    threshold in decimals, as SQL multiplies; 9 * 1.7 in binary is just below 15.3."""
+    return round(threshold * 1.7, 9)
+
+
 def progress(stable: Column, capture_frames: int = 4) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), stable / float(capture_frames)))
 
@@ -218,6 +224,7 @@ def live_states(frames: DataFrame, *, threshold: float = 9.0, ready: int = 4, ca
     as too much.  Sessions of over ``hot`` frames are cut at spans of time; frames
     of one span share a task."""
     kept = _with_flat_corners(frames).select("session_id", "ts", "frame_no", "document_detected", "movement", "corners")
+    most = slack(threshold)
 
     def step(state: tuple, detected: bool | None, movement: float | None, current: list[float] | None) -> tuple:
         stable, _, misses, corners = state
@@ -226,7 +233,7 @@ def live_states(frames: DataFrame, *, threshold: float = 9.0, ready: int = 4, ca
         if seen and moved <= threshold:
             stable += 1
         else:
-            stable = max(0, stable - 1) if not seen or moved <= threshold * 1.7 else 0
+            stable = max(0, stable - 1) if not seen or moved <= most else 0
         return stable, seen, misses, corners
 
     def fold(cool: DataFrame) -> DataFrame:
@@ -237,7 +244,7 @@ def live_states(frames: DataFrame, *, threshold: float = 9.0, ready: int = 4, ca
         made.df = made.df.withColumn("has_corners", F.col("corners").isNotNull())
         made, seen = _seen(made), F.col("seen")
         moved = F.when(F.isnan("movement"), None).otherwise(F.col("movement"))
-        change = F.when(seen & (moved <= threshold), 1).when(~seen | (moved <= threshold * 1.7), -1).otherwise(RESET)
+        change = F.when(seen & (moved <= threshold), 1).when(~seen | (moved <= most), -1).otherwise(RESET)
         return _counted(made, change).select("session_id", "frame_no", "stable", "seen")
 
     each, seen, stable = _over_sessions(kept, fold, spans, hot, span_us), F.col("seen"), F.col("stable")

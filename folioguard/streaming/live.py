@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.frames import CORNERS, track
+from ..operators.frames import CORNERS, slack, track
 
 QUIET_MS = 600_000
 CORNER = "struct<top_left: struct<x: double, y: double>, top_right: struct<x: double, y: double>, bottom_right: struct<x: double, y: double>, bottom_left: struct<x: double, y: double>>"
@@ -26,7 +26,7 @@ STATE = "last_ts double, last_frame long, stable int, misses int, corners array<
 def next_stable(stable: int, detected: bool, movement: float, threshold: float) -> int:
     if detected and movement <= threshold:
         return stable + 1
-    if not detected or movement <= threshold * 1.7:
+    if not detected or movement <= slack(threshold):
         return max(0, stable - 1)
     return 0
 

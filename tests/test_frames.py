@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioguard.operators.frames import live_states, stability_counts
+from folioguard.streaming.live import next_stable
 
 
 def test_a_session_is_streamed_and_not_collected(spark):
@@ -21,3 +22,17 @@ def test_a_session_is_streamed_and_not_collected(spark):
     for job in jobs:
         plan = job._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_a_movement_at_the_threshold_in_decimals_takes_one_off(spark):
+    """9 * 1.7 is below 15.3 in binary, not in decimals."""
+    rows = [("s", i, True, m) for i, m in enumerate([1.0, 9.0, 2.0, 15.3, 15.31, 1.0, 1.0, 15.29])]
+    df = spark.createDataFrame(rows, "session_id string, frame_no long, document_detected boolean, movement double").withColumn("ts", F.timestamp_micros("frame_no"))
+    want = [1, 2, 3, 2, 0, 1, 2, 1]
+    for hot in (1 << 16, 0):
+        assert [r["stable"] for r in live_states(df, hot=hot, span_us=3).orderBy("frame_no").collect()] == want
+    counts, streamed = 0, []
+    for _, _, _, m in rows:
+        counts = next_stable(counts, True, m, 9.0)
+        streamed.append(counts)
+    assert streamed == want
