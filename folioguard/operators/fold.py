@@ -6,6 +6,18 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def gathered(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """``df`` with all rows of ``keys`` in one partition, sorted by ``keys`` and ``order``.
+
+    Dealt by a hash of the keys.  Spark leaves a repartition by the keys themselves
+    out where its input is dealt by them already, and may then still coalesce the sides
+    of a union apart or split a skewed join, as ``mapInArrow`` does not say that it
+    needs keys whole; a key would be in several tasks.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
 def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], object], finish: Callable[[object, object], dict], schema: str) -> DataFrame:
@@ -36,4 +48,4 @@ def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], object],
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return gathered(df, [key], *order).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructType
 
 from ..sources.scratch import settle
+from .fold import gathered
 from .running import HOT, SPAN_US, Running, span_of, split_hot
 
 #: Fixed value: with so many missed frames in a row a document is lost.
@@ -66,7 +67,7 @@ def _folded(frames: DataFrame, columns: list[str], start: Callable[[], tuple], s
             made = [pa.array([x[i] for x in out], kind) for i, (_, _, kind) in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], [*names, *[n for n, _, _ in added]])
 
-    return kept.repartition("session_id").sortWithinPartitions("session_id", "ts", "frame_no").mapInArrow(run, schema)
+    return gathered(kept, ["session_id"], "ts", "frame_no").mapInArrow(run, schema)
 
 
 def smooth(previous: list[float] | None, current: list[float], weight: float = 0.58, jump: float = 0.18) -> list[float]:
@@ -137,7 +138,7 @@ def _tracked(frames: DataFrame, keys: list[str], every: bool) -> DataFrame:
             columns = list(zip(*ends, strict=True)) if ends else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*[pa.array(c) if ends else pa.array([], pa.null()) for c in columns[:-1]], pa.array(columns[-1], end_type)], names)
 
-    return frames.repartition(*keys).sortWithinPartitions(*keys, "ts", "frame_no").mapInArrow(run, schema)
+    return gathered(frames, keys, "ts", "frame_no").mapInArrow(run, schema)
 
 
 def tracked_corners(frames: DataFrame, *, hot: int = HOT, span_us: int = SPAN_US, exact: float = 1e-12) -> DataFrame:
