@@ -23,8 +23,14 @@ def assemble_lines(words: DataFrame) -> DataFrame:
     """One row for each (``doc_id``, ``line_key``): ``words`` from left to right
     (ties in input order), the ``compact`` text, the ``raw`` text, and the input
     place ``line_seq`` of the line's first word."""
-    lines = words.groupBy("doc_id", "line_key").agg(F.array_sort(F.collect_list(F.struct(*WORD))).alias("words"), F.min("word_seq").alias("line_seq"))
-    return lines.withColumns(
+    return with_texts(words.groupBy("doc_id", "line_key").agg(F.collect_list(F.struct(*WORD)).alias("words")))
+
+
+def with_texts(lines: DataFrame) -> DataFrame:
+    """``lines`` (``doc_id``, ``line_key``, ``words``: structs of ``WORD``, each line
+    one row) as ``assemble_lines`` gives them."""
+    first = F.array_min(F.transform("words", lambda w: w["word_seq"])).alias("line_seq")
+    return lines.select("doc_id", "line_key", F.array_sort("words").alias("words"), first).withColumns(
         {"compact": F.array_join(F.transform("words", lambda w: w["normalized"]), ""), "raw": F.array_join(F.transform("words", lambda w: w["text"]), " ")}
     )
 
@@ -117,7 +123,16 @@ def detect(words: DataFrame) -> DataFrame:
     first stays.  Labels and numbers meet in the cells of a grid, so the work grows
     with the words of a document.
     """
-    marks = line_marks(assemble_lines(words.select("doc_id", "line_key", *WORD)))
+    return _detected(line_marks(assemble_lines(words.select("doc_id", "line_key", *WORD))))
+
+
+def detect_lines(lines: DataFrame) -> DataFrame:
+    """``detect`` of words that are together by line already (``doc_id``, ``line_key``,
+    ``words``), as a source that reads whole lines has them: no word is shuffled."""
+    return _detected(line_marks(with_texts(lines)))
+
+
+def _detected(marks: DataFrame) -> DataFrame:
     doc, own = W.partitionBy("doc_id"), F.get("words", F.lit(0))
     placed = marks.withColumn("numbered", F.max((F.col("role") == "hit") & (F.col("label") == ID_NUMBER)).over(doc))
     met = with_labels_of_cell(placed.withColumns({"left": own["left"], "top": own["top"], "height": own["height"], "word_seq": own["word_seq"]}))

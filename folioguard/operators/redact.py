@@ -52,11 +52,22 @@ def redact_words(words: DataFrame, rects: DataFrame) -> DataFrame:
     A page's few rectangles become one array, so words are not multiplied; pages
     without any pass through.
     """
+    return marked(with_rectangles(words, rects))
+
+
+def with_rectangles(rows: DataFrame, rects: DataFrame) -> DataFrame:
+    """``rows`` (``doc_id``, ``page_no``, more), be it words or the lines that they are
+    made of later, with ``rects``: the rectangles of their page, null if it has none."""
     by_page = rects.groupBy("doc_id", "page_no").agg(F.collect_list("rect").alias("rects"))
+    return rows.join(by_page, ["doc_id", "page_no"], "left")
+
+
+def marked(words: DataFrame) -> DataFrame:
+    """``words`` with ``rects`` as ``redact_words`` gives them."""
     y = F.col("top") - F.col("page_top")
     touches = lambda r: (r["left"] < F.col("left") + F.col("width")) & (r["left"] + r["width"] > F.col("left")) & (r["top"] < y + F.col("height")) & (r["top"] + r["height"] > y)
-    marked = words.join(by_page, ["doc_id", "page_no"], "left").withColumn("redacted", F.coalesce(F.exists("rects", touches), F.lit(False))).drop("rects")
-    return marked.withColumn("shown", F.when(F.col("redacted"), F.repeat(F.lit(BLOCK), F.length("text"))).otherwise(F.col("text")))
+    redacted = words.withColumn("redacted", F.coalesce(F.exists("rects", touches), F.lit(False))).drop("rects")
+    return redacted.withColumn("shown", F.when(F.col("redacted"), F.repeat(F.lit(BLOCK), F.length("text"))).otherwise(F.col("text")))
 
 
 def burn_images(images: DataFrame, rects: DataFrame, channels: int = 3) -> DataFrame:

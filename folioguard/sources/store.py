@@ -117,4 +117,4 @@ def compact_drafts(spark: SparkSession, path: str, *, buckets: int | None = None
 def write_protected(words: DataFrame, path: str) -> None:
     """Redacted words by document: (``doc_id``, ``page_no``, ``word_seq``,
     ``shown``, ``redacted``).  The originals are not touched."""
-    words.select("doc_id", "page_no", "word_seq", "shown", "redacted").write.mode("overwrite").partitionBy("page_no").parquet(path)
+    words.select("doc_id", "page_no", "word_seq", "shown", "redacted").write.mode("overwrite").option("compression", "zstd").partitionBy("page_no").parquet(path)
